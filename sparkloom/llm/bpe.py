@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from sparkloom.session import ship
 
 INDEX_WORDS = 100_000
-PARTS_KEPT, WORDS_KEPT = 900_000, 700_000
-BATCH_BYTES = 16_000_000
+WORDS_KEPT = 700_000
+BATCH_BYTES = 8_000_000
 
 #: White space as the vocabulary's patterns mean it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -75,10 +75,22 @@ class Vocabulary:
         symbols = _byte_symbols()
         self.inner = [self.ids[c] for c in symbols]
         self.last = [self.ids[c + self.suffix] for c in symbols]
+        alone = max(*self.inner, *self.last) + 1
+        if alone > 1024:
+            raise ValueError("the bytes' own symbols must have small ids")
+        self.byte_rank = np.full((alone, alone), -1, np.int32)
+        for r, (left, right, _) in enumerate(self.pair):
+            if left < alone and right < alone:
+                self.byte_rank[left, right] = r
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", _WS))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = regex.compile(f"[{_WS}]+")
+        # Where words end within a run of other characters: all that the pattern matches but letters. It is the
+        # same pattern, and none of its matches spans white space, so spaces around these part all pre-tokens.
+        self.cuts = pattern.replace(r"[^\s\p{L}\p{N}]+", r"[^\t-\r \x{a0}\p{L}\p{N}]+").replace(r"[\p{L}]+|", "")
+        if self.cuts == pattern or r"\s" in self.cuts:
+            raise ValueError("the word pattern has another form")
 
     def normal(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
@@ -102,15 +114,21 @@ class Vocabulary:
                 sym[-1] = last[raw[-1]]
             bounds.append(len(sym))
         n = len(sym)
-        ends = {b - 1 for b in bounds}
-        starts = set(bounds)
-        after = [-1 if i in ends else i + 1 for i in range(n)]
-        before = [-1 if i in starts else i - 1 for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                after[b - 1] = before[a] = -1
         rank, pair = self.rank, self.pair
         where: dict[int, list[int]] = defaultdict(list)
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank.get(sym[i] << 32 | sym[j])) is not None:
-                where[r].append(i)
+        flat = np.array(sym, np.int64)
+        first = self.byte_rank[flat[:-1], flat[1:]] if n > 1 else np.empty(0, np.int32)
+        within = np.ones(max(0, n - 1), bool)
+        within[np.array(bounds[1:-1], np.int64) - 1] = False
+        at = np.flatnonzero(within & (first >= 0))
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, begin = np.unique(first[at], return_index=True)
+        for r, places in zip(ranks.tolist(), np.split(at, begin[1:])):
+            where[r] = places.tolist()
         active = sorted(where)
         while active:
             r = heapq.heappop(active)
@@ -140,7 +158,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes columns of texts; keeps the packed ids (little-endian uint32) of parts it has met.
+    """Encodes columns of texts; keeps the packed ids (little-endian uint32) of pre-tokens it has met.
 
     ``learn`` gives the ids of distinct pre-tokens; by default the pair occurrence index does.
     """
@@ -150,56 +168,40 @@ class Encoder:
         if learn is None and not self.vocab.ascending:
             raise ValueError("merges must form a training order: each token made once, after its parts")
         self.learn = learn or self.vocab.index_encode
-        self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _learn_words(self, found: Iterable[Sequence[str]]) -> None:
+    def _learn(self, new: list[str]) -> None:
         words = self.words
-        new = list({w for ws in found for w in ws if w not in words})
         if new:
             for w, ids in zip(new, self.learn(new)):
                 words[w] = np.array(ids, "<u4").tobytes()
 
-    def _learn_parts(self, new: list[str]) -> None:
-        """new: runs without white space, from texts without a character that SLOW finds."""
-        find, words, parts, split = self.vocab.words.findall, self.words, self.parts, []
-        for p in new:
-            low = p.lower()
-            if low.isalpha():
-                split.append((low,))
-            elif low[-1:] in ".,!" and low[:-1].isalpha():
-                split.append((low[:-1], low[-1]))
-            else:
-                split.append(find(low))
-        self._learn_words(split)
-        for p, ws in zip(new, split):
-            parts[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-
     def _slow(self, text: str) -> bytes:
         v = self.vocab
         pieces = v.specials.split(text) if v.specials else [text]
         found = [[] if p in v.special else v.words.findall(v.normal(p)) for p in pieces]
-        self._learn_words(found)
+        self._learn(list({w for ws in found for w in ws if w not in self.words}))
         return b"".join(np.array([v.special[p]], "<u4").tobytes() if p in v.special else b"".join([self.words[w] for w in ws]) for p, ws in zip(pieces, found))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), and where those of each row begin, with the end."""
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-            self.parts.clear()
-        if len(self.parts) > PARTS_KEPT:
-            self.parts.clear()
         column = pc.fill_null(column.cast(pa.large_string()), "")
         slow = pc.match_substring_regex(column, SLOW)
         for s in self.vocab.special:
             slow = pc.or_(slow, pc.match_substring(column, s))
         hard = slow.to_numpy(zero_copy_only=False)
         easy = pc.if_else(slow, "", column) if hard.any() else column
-        split = pc.utf8_split_whitespace(easy)
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(easy), self.vocab.cuts, r" \0 "))
         coded = split.flatten().dictionary_encode()
-        parts, distinct = self.parts, coded.dictionary.to_pylist()
-        self._learn_parts([p for p in distinct if p not in parts])
-        packed = [parts[p] for p in distinct]
+        words, distinct = self.words, coded.dictionary.to_pylist()
+        words[""] = b""
+        packed = list(map(words.get, distinct))
+        new = [i for i, x in enumerate(packed) if x is None]
+        self._learn([distinct[i] for i in new])
+        for i in new:
+            packed[i] = words[distinct[i]]
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         flat = np.frombuffer(b"".join(packed), "<u4")
@@ -235,62 +237,80 @@ def runs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at, done = to, int(ends[to - 1])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``docs`` with an array<int> column ``ids``, replacing one of that name; null text counts as ''."""
+def _with(docs: DataFrame, work: Callable[[pa.RecordBatch], Iterator[tuple[int, int, list[pa.Array]]]], added: list[T.StructField]) -> DataFrame:
+    """``docs`` with columns that ``work`` gives for runs (first row, rows) of a batch; same names are replaced."""
     ship(docs.sparkSession)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    keep = [f.name for f in schema.fields[:-1]]
+    names = [f.name for f in added]
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + added)
+    keep = [f.name for f in schema.fields[: -len(added)]]
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, run in runs(b.column(text)):
-                flat, offsets = enc.encode(run)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(run)).select(keep).columns, lists], [*keep, ids])
+            for at, n, columns in work(b):
+                yield pa.RecordBatch.from_arrays([*b.slice(at, n).select(keep).columns, *columns], [*keep, *names])
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(work, schema)
+def _ids_of(column: pa.Array, vocabulary: str) -> Iterator[tuple[int, int, pa.ListArray]]:
+    enc = encoder(vocabulary)
+    for at, run in runs(column):
+        flat, offsets = enc.encode(run)
+        yield at, len(run), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int32)))
 
 
 _tables: dict[str, pa.Array] = {}
 
 
+def _texts_of(lists: pa.ListArray, vocabulary: str) -> pa.Array:
+    if vocabulary not in _tables:
+        _tables[vocabulary] = pa.array(Vocabulary(vocabulary).tokens)
+    tokens = _tables[vocabulary]
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    raw = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    known = (raw >= 0) & (raw < len(tokens))
+    if not known.all():
+        owner = np.repeat(np.arange(len(counts)), counts)[known]
+        counts, raw = np.bincount(owner, minlength=len(counts)), raw[known]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens.take(pa.array(raw))), " ")
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """``docs`` with an array<int> column ``ids``, replacing one of that name; null text counts as ''."""
+    return _with(docs, lambda b: ((at, n, [x]) for at, n, x in _ids_of(b.column(text), vocabulary)), [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with a string column ``text``: the ids' tokens, special ones too, joined by one space.
 
-    A vocabulary file without a decoder joins tokens so. Null ids decode to ''; an unknown id has no token
-    and is left out.
+    A vocabulary file without a decoder joins tokens so. Null ids decode to ''; a null or unknown id has no
+    token and is left out.
     """
-    ship(docs.sparkSession)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(text, T.StringType())])
-    keep = [f.name for f in schema.fields[:-1]]
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _tables:
-            _tables[vocabulary] = pa.array(Vocabulary(vocabulary).tokens)
-        tokens = _tables[vocabulary]
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                lists = part.column(ids)
-                flat = lists.flatten()
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                raw = flat.to_numpy(zero_copy_only=False)
-                known = (raw >= 0) & (raw < len(tokens))
-                if not known.all():
-                    owner = np.repeat(np.arange(len(counts)), counts)[known]
-                    counts, raw = np.bincount(owner, minlength=len(counts)), raw[known]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                words = pa.ListArray.from_arrays(offsets, tokens.take(pa.array(raw)))
-                joined = pc.binary_join(words, " ")
-                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, joined], [*keep, text])
-
-    return docs.mapInArrow(work, schema)
+    def work(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for at in range(0, b.num_rows, 500):
+            part = b.column(ids).slice(at, 500)
+            yield at, len(part), [_texts_of(part, vocabulary)]
+
+    return _with(docs, work, [T.StructField(text, T.StringType())])
+
+
+def round_trip_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode_documents`, then :func:`decode_documents` on its ids, in one pass of one worker."""
+
+    def work(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for at, n, lists in _ids_of(b.column(text), vocabulary):
+            for k in range(0, n, 500):
+                part = lists.slice(k, 500)
+                yield at + k, len(part), [part, _texts_of(part, vocabulary)]
+
+    return _with(docs, work, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, from encoded ids and decoded text."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    both = round_trip_documents(docs.select("doc_id", "text"), vocabulary)
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, tokenfile
+from sparkloom.llm import bpe, jaccard, tokenfile
 from sparkloom.session import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,12 +22,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_positions(table(spark, sf_dir, "documents"), _vocabulary(), scratch(spark, "tokens"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), _vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {}
