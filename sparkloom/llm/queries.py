@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, jaccard, tokenfile
+from sparkloom.llm import bpe, decontaminate, jaccard, quality, sharding, tokenfile
 from sparkloom.session import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,10 +18,22 @@ def _vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_positions(table(spark, sf_dir, "documents"), _vocabulary(), scratch(spark, "tokens"))
 
 
+def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -31,8 +43,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_quality_divergence": op4_quality_divergence,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {}
+# A-Z in lower case, words apart from space and 0x09-0x0D
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    # items of fewer than five words, of which the benchmark has none, would need their own shingle width
+    "op1_decontamination": f"""
+        with i as (select item_id, {_WORDS} w from benchmark),
+        si as (select distinct item_id, unnest([w[j:j + 4] for j in range(1, len(w) - 3)]) s from i),
+        d as (select doc_id, {_WORDS} w from documents),
+        sd as (select distinct doc_id, s from (select doc_id, unnest([w[j:j + 4] for j in range(1, len(w) - 3)]) s from d) where s in (select s from si)),
+        q as (select item_id, count(*) n from si group by item_id)
+        select doc_id, item_id, n as n_item_shingles, count(*) as n_common, count(*) / n as containment
+        from si join sd using (s) join q using (item_id) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+}
