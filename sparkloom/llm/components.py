@@ -7,10 +7,17 @@ in one task. Each round is checkpointed in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import shared_dir
+from sparkloom.session import materialize, shared_dir
+
+#: Rows of a key that meet in one task: two blocks of these.
+TILE_ROWS = 1024
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -43,3 +50,70 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = after
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def _open_pairs(rows: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]]) -> DataFrame:
+    """Candidate pairs (a, b) among rows (key, node, comp, n, bits) of a key: of different components, and close.
+
+    A key's rows are dealt to blocks of about ``TILE_ROWS``; each two blocks of a key meet in a task of their own,
+    so no task holds more than two blocks of a key, however many rows the key has.
+    """
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits")
+    columns = ["key", "i", "j"]
+
+    def pairs(batch: pa.RecordBatch, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        part = batch.slice(begin, end - begin)
+        own, node, comp, n = (part.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        if comp.min() == comp.max():
+            return
+        for at, near in enumerate(close(n, part.column("bits").to_pylist())):
+            near &= comp[at + 1 :] != comp[at]
+            if i != j:
+                near &= own[at + 1 :] != own[at]
+            if near.any():
+                b = node[at + 1 :][near]
+                a = np.full(len(b), node[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            code = [b.column(c).to_numpy() for c in columns]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in code], axis=0)) + 1
+            for begin, end in zip([0, *cut[:-1].tolist()], cut.tolist()):
+                yield from pairs(b, begin, end)
+            held = b.slice(int(cut[-1]) if len(cut) else 0)
+        if held is not None:
+            yield from pairs(held, 0, held.num_rows)
+
+    return met.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(work, "a long, b long").distinct()
+
+
+def tile_links(members: DataFrame, nodes: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between nodes that share a tile, enough of them to connect all that link in a tile.
+
+    ``members``: (key, lead, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
+    a frame (a, b) that link; ``close(n, bits)`` gives, for each of some nodes, a mask of the later ones that it can
+    link with. Each node is compared with the least of its tile; then, where a tile still holds several components,
+    its nodes of different components are compared. Pairs within one component are never made.
+    """
+    links = materialize(verify(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), "tile-links")
+    placed = members.join(connected_components(links), "node", "left").select("key", "lead", "node", F.coalesce("component", "node").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    # what the least of a tile links with is known
+    still = placed.where("node != lead").join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits")
+    return links.union(verify(_open_pairs(materialize(still, "tile-open"), close)))
+
+
+def tile_members(tiles: DataFrame) -> DataFrame:
+    """(key, node) rows of tiles with several nodes, once each, and the least node of the tile: (key, lead, node)."""
+    led = tiles.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("key", "lead")
+    return materialize(tiles.join(led, "key").distinct().select("key", "lead", "node"), "tile-members")

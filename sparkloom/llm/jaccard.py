@@ -5,9 +5,9 @@ Documents with equal sets form a class, and classes are joined. Set sizes fall i
 with a set there. Within a band the hash space is cut into ranges, and a tile is one range with one content:
 its key is a hash of all shingles of a set that lie in the range.
 
-- In a band where linked sets can differ in at most D shingles and D is small, there are more than D
-  ranges that cover the whole space, so two linked sets agree in at least one range: no link is lost.
-  Spare ranges outnumber the empty ones that a set may have; a set with more empty ranges joins their tiles too.
+- In a band where linked sets can differ in at most D shingles and D is small, D + 1 ranges and one or two spare
+  ones cover the whole space, so two linked sets agree in more ranges than are spare: no link is lost. A set joins
+  the tiles of its ranges that aren't empty, and if more are empty than are spare, those of the empty ones too.
 - In bands of larger sets ``RANGES`` (more for low thresholds) narrow ranges of about ``range_items`` shingles each are used. A link at the
   threshold agrees in none of them with a probability below 1e-9 (Poisson), a closer one still less often.
 
@@ -20,7 +20,7 @@ two has bound the overlap from above. Sorted arrays decide the rest exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.components import connected_components, tile_links, tile_members
 from sparkloom.llm.textkernel import U, mix, shingle_sets
 from sparkloom.session import materialize, ship
 
@@ -91,11 +91,7 @@ class Bands:
         if k not in self.made:
             low, high = self._edge(k), self._edge(k + 1) - 1
             most = self.threshold.difference(2 * high)
-            least = max(1, math.ceil(low * self.threshold.num / self.threshold.den))
-            spare = 0
-            for _ in range(6):
-                empty = (most + 1 + spare) * math.exp(-least / (most + 1 + spare))
-                spare = math.ceil(empty + 4 * math.sqrt(empty)) + 1
+            spare = 1 + (most >= 20)
             n = most + 1 + spare
             if most == 0:
                 self.made[k] = None
@@ -143,13 +139,25 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
-    """An upper bound of the overlap of two sets from their bitmaps."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes, a power of two, from one that is as wide or wider."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def overlap_bounds(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bounds of a set's overlap with others, from bitmaps of one width (a row each in ``b``)."""
+    return np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+
+
+def closeness(threshold: Threshold) -> Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]]:
+    def close(n: np.ndarray, bits: list[bytes]) -> Iterator[np.ndarray]:
+        width = min(map(len, bits))
+        rows = np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits])
+        for i in range(len(n)):
+            total = n[i] + n[i + 1 :]
+            yield threshold.den * (bound := overlap_bounds(rows[i], n[i], rows[i + 1 :], n[i + 1 :])) >= threshold.num * (total - bound)
+
+    return close
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,11 +200,13 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """Those of the (a, b) pairs of classes that link."""
+    close = closeness(threshold)
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            na, nb = x.column("na").to_pylist(), x.column("nb").to_pylist()
-            keep = [threshold.linked(overlap_bound(np.frombuffer(p, np.uint8), n, np.frombuffer(q, np.uint8), m), n + m) for p, n, q, m in zip(x.column("ba").to_pylist(), na, x.column("bb").to_pylist(), nb)]
+            sizes = np.stack([x.column(c).to_numpy() for c in ("na", "nb")], axis=1)
+            bits = zip(x.column("ba").to_pylist(), x.column("bb").to_pylist())
+            keep = [bool(next(close(n, list(p)))[0]) for n, p in zip(sizes, bits)]
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,21 +241,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     base = materialize(_base(slim, k, threshold), "jaccard-base")
     known = base.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    tiles = known.select("sig", F.explode("keys").alias("key"))
-    led = tiles.groupBy("key").agg(F.min("sig").alias("lead"), F.max("sig").alias("last")).where("lead != last").select("key", "lead")
-    members = materialize(tiles.join(led, "key").distinct(), "jaccard-tiles")
-    pairs = materialize(members.where("sig != lead").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "jaccard-pairs")
-    involved = materialize(members.select("sig").distinct().join(classes, "sig").select("sig", F.col("rep").alias("doc_id")), "jaccard-involved")
-    sets = materialize(_sets(slim.join(involved, "doc_id"), k), "jaccard-sets")
-    links = materialize(_verified(pairs, sets, threshold), "jaccard-links")
-    first = connected_components(links)
-    placed = members.join(first.withColumnRenamed("node", "sig"), "sig", "left").select("key", "lead", "sig", F.coalesce("component", "sig").alias("comp")).join(sets.select("sig", "n"), "sig")
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    open_ = materialize(placed.join(split, "key", "left_semi"), "jaccard-open")
-    left, right = (open_.where("sig != lead").select("key", F.col("sig").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    more = _verified(left.join(right, "key").where(fits).select("a", "b").distinct(), sets, threshold)
-    groups = connected_components(links.union(more))
+    tiles = known.select(F.explode("keys").alias("key"), F.col("sig").alias("node"))
+    members = tile_members(tiles)
+    involved = members.select(F.col("node").alias("sig")).distinct().join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
+    # texts are shuffled whatever the number of classes is, so that the plan is one at every size
+    sets = materialize(_sets(slim.join(materialize(involved, "jaccard-involved").hint("merge"), "doc_id"), k), "jaccard-sets")
+    nodes = sets.select(F.col("sig").alias("node"), "n", "bits")
+    groups = connected_components(tile_links(members, nodes, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold)))
     named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n_shingles", "rep", F.coalesce("component", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "comp").select("sig", "n_shingles", "component_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, jaccard, quality, sharding, tokenfile
+from sparkloom.llm import bpe, decontaminate, jaccard, lines, quality, sharding, tokenfile
 from sparkloom.session import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,11 @@ def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
     "op4_quality_divergence": op4_quality_divergence,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
