@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, jaccard, lines, quality, sharding, tokenfile
-from sparkloom.session import scratch, table
+from sparkloom.llm import bpe, decontaminate, jaccard, licences, lines, quality, rollups, sharding, tokenfile, toxicity
+from sparkloom.session import materialize, scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -22,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_positions(table(spark, sf_dir, "documents"), _vocabulary(), scratch(spark, "tokens"))
 
@@ -30,10 +34,43 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents under two tokenizer versions, one of them with estimates; revise these to exact counts; delete
+    later copies of equal texts; deliver two of the batches again, and compact in between."""
+    estimate = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 5).cast("long")
+    facts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"), estimate.alias("estimate"), rollups.count_words().alias("words"), rollups.count_pieces().alias("pieces"))
+    facts = materialize(facts, "rollup-facts")
+
+    def version(rows: DataFrame, name: str, **counts: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(name).alias("tokenizer_version"), *(F.col(c).alias(n) for n, c in counts.items()))
+
+    totals = rollups.TokenTotals(spark, scratch(spark, "rollups"))
+    load = rollups.inserts(version(facts, "words-1", n_tokens="estimate").unionByName(version(facts, "pieces-1", n_tokens="pieces")))
+    recount = rollups.revisions(version(facts, "words-1", old_tokens="estimate", new_tokens="words"))
+    firsts = facts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    later = facts.join(firsts, "h").where("doc_id > first")
+    copies = rollups.deletes(version(later, "words-1", n_tokens="words").unionByName(version(later, "pieces-1", n_tokens="pieces")))
+    totals.apply("load", load)
+    totals.apply("recount", recount)
+    totals.apply("load", load)
+    totals.compact()
+    totals.apply("copies", copies)
+    totals.apply("recount", recount)
+    return totals.totals()
+
+
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
 
 
+def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    field = toxicity.fit_documents(docs, labels.where(~held_out))
+    scored = toxicity.score_documents(docs, field)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
@@ -49,10 +86,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_licence_sentences": op2_licence_sentences,
     "op3_token_files": op3_token_files,
     "op4_quality_divergence": op4_quality_divergence,
+    "op5_toxicity_crf": op5_toxicity_crf,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_token_rollups": op8_token_rollups,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
@@ -69,4 +109,11 @@ ORACLE_SQL: dict[str, str] = {
         q as (select item_id, count(*) n from si group by item_id)
         select doc_id, item_id, n as n_item_shingles, count(*) as n_common, count(*) / n as containment
         from si join sd using (s) join q using (item_id) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+    "op2_licence_sentences": licences.scan_sql(),
+    "op8_token_rollups": r"""
+        with d as (select source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words, len(regexp_extract_all(t, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) as pieces
+            from (select source, lang, coalesce(text, '') t from documents qualify doc_id = min(doc_id) over (partition by coalesce(text, ''))))
+        select source, lang, 'words-1' as tokenizer_version, count(*) as n_docs, cast(sum(words) as bigint) as n_tokens from d group by all
+        union all
+        select source, lang, 'pieces-1', count(*), cast(sum(pieces) as bigint) from d group by all""",
 }
