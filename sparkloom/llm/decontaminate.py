@@ -114,6 +114,14 @@ class Index:
                             yield at + d, item_id, len(item), common
 
 
+def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK, one at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    blocks = max(1, -(-items.count() // BLOCK))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return [[tuple(r) for r in dealt.where(F.col("block") == i).drop("block").collect()] for i in range(blocks)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Pairs (doc_id, item_id) where the document contains num / den or more of the item's distinct k-word shingles.
 
@@ -125,15 +133,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = items.count()
-    if n > BLOCK:
-        blocks = -(-n // BLOCK) * 2
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-        parts = [[tuple(r) for r in dealt.where(F.col("block") == i).drop("block").collect()] for i in range(blocks)]
-    else:
-        parts = [[tuple(r) for r in items.collect()]]
+    parts = _blocks(benchmark)
 
     def leaks(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -151,4 +152,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     return reduce(DataFrame.unionByName, [leaks(p) for p in parts])
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are in no pair of :func:`find_leaks`, with all their columns; nothing is shuffled."""
+    spark = docs.sparkSession
+    ship(spark)
+    for block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, k, num, den)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[r[0] for r in index.search(b.column("text"))]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 LEAK_NAMES = ["doc_id", "item_id", "n_item_shingles", "n_common", "containment"]

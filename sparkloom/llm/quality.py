@@ -137,12 +137,9 @@ def _mean(column: str, most: int) -> Column:
     return F.filter(F.array(*(F.avg(F.get(column, F.lit(i))) for i in range(most))), lambda x: x.isNotNull())
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): the counts, base_failed, both distances and kept.
-
-    Texts are read once; what they give is written to the shared folder, and references and verdicts come from there.
-    """
-    counted = word_counts(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (of doc_id and text), the counts, base_failed, kept and both distances, from one pass over the texts."""
+    counted = word_counts(docs.select(F.col("doc_id").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).withColumn("row_key", row_key()))
     facts = materialize(histograms(counted).drop("text", "_w"), "quality-facts")
     judged = (F.col("_n_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
     size = 1 + len(set(reduce(add, COMMON_WORDS.values())))
@@ -150,4 +147,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
     references = facts.where(judged & ~F.col("base_failed")).groupBy("lang").agg(_mean("chars", 6).alias("_q_chars"), _mean("common", size).alias("_q_common"))
     scored = facts.join(references, "lang", "left").withColumns({"char_distance": js_distance(F.col("chars"), F.col("_q_chars")), "word_distance": js_distance(F.col("common"), F.col("_q_common"))})
     diverges = judged & ((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("char_distance") + F.col("word_distance") > MAX_DISTANCES))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~diverges).alias("kept"), "char_distance", "word_distance")
+    return scored.withColumn("kept", ~F.col("base_failed") & ~diverges)
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, lang): the counts, base_failed, kept and both distances.
+
+    Texts are read once; what they give is written to the shared folder, and references and verdicts come from there.
+    """
+    return _verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Equal rows share a verdict."""
+    bad = _verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key"))
+    same = (row_key() == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
+    # a merge join whatever the number of rows is: one plan at every size
+    return docs.join(bad.hint("merge"), same, "left_anti")
