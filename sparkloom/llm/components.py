@@ -52,11 +52,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def _open_pairs(rows: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]]) -> DataFrame:
-    """Candidate pairs (a, b) among rows (key, node, comp, n, bits) of a key: of different components, and close.
+#: What two nodes can be at best: for one of some nodes, given (n, bits) of all, a number for each; 0 if they can't link.
+Closeness = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
-    A key's rows are dealt to blocks of about ``TILE_ROWS``; each two blocks of a key meet in a task of their own,
-    so no task holds more than two blocks of a key, however many rows the key has.
+
+def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) among rows (key, node, comp, n, bits) of a key, of different components.
+
+    ``nearest``: of each node only the pair with the closest one; else all that can link. A key's rows are dealt to
+    blocks of about ``TILE_ROWS``; each two blocks of a key meet in a task of their own, so no task holds more
+    than two blocks of a key, however many rows the key has.
     """
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -70,14 +75,20 @@ def _open_pairs(rows: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iter
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         if comp.min() == comp.max():
             return
-        for at, near in enumerate(close(n, part.column("bits").to_pylist())):
-            near &= comp[at + 1 :] != comp[at]
+        bits = prepare(part.column("bits").to_pylist())
+        a, b = [], []
+        for at in range(len(node)):
+            score = close(at, n, bits)
+            score[comp == comp[at]] = 0
             if i != j:
-                near &= own[at + 1 :] != own[at]
-            if near.any():
-                b = node[at + 1 :][near]
-                a = np.full(len(b), node[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                score[own == own[at]] = 0
+            near = np.array([score.argmax()]) if nearest else np.flatnonzero(score[at + 1 :] > 0) + at + 1
+            near = near[score[near] > 0]
+            a.append(np.full(len(near), node[at]))
+            b.append(node[near])
+        x, y = np.concatenate(a), np.concatenate(b)
+        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -97,23 +108,30 @@ def _open_pairs(rows: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iter
     return met.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(work, "a long, b long").distinct()
 
 
-def tile_links(members: DataFrame, nodes: DataFrame, close: Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def tile_links(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links between nodes that share a tile, enough of them to connect all that link in a tile.
 
-    ``members``: (key, lead, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
-    a frame (a, b) that link; ``close(n, bits)`` gives, for each of some nodes, a mask of the later ones that it can
-    link with. Each node is compared with the least of its tile; then, where a tile still holds several components,
-    its nodes of different components are compared. Pairs within one component are never made.
+    ``members``: (key, leads, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
+    a frame (a, b) that link. Each node is compared with the leads of its tiles. Where a tile still holds several
+    components, each node is compared with the closest one of another component, twice; then, in what is
+    left, all pairs of different components that can link are compared. Pairs within one component are never made.
     """
-    links = materialize(verify(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), "tile-links")
-    placed = members.join(connected_components(links), "node", "left").select("key", "lead", "node", F.coalesce("component", "node").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    # what the least of a tile links with is known
-    still = placed.where("node != lead").join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits")
-    return links.union(verify(_open_pairs(materialize(still, "tile-open"), close)))
+    lead = members.select("node", F.explode("leads").alias("lead")).where("node != lead")
+    links = materialize(verify(lead.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()), "tile-links")
+    for nearest in (True, True, False):
+        placed = members.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+        still = placed.join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits")
+        more = verify(_open_pairs(materialize(still, "tile-open"), prepare, close, nearest))
+        links = materialize(links.union(more), "tile-links")
+    return links
 
 
 def tile_members(tiles: DataFrame) -> DataFrame:
-    """(key, node) rows of tiles with several nodes, once each, and the least node of the tile: (key, lead, node)."""
-    led = tiles.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("key", "lead")
-    return materialize(tiles.join(led, "key").distinct().select("key", "lead", "node"), "tile-members")
+    """(key, node) rows of tiles with several nodes, once each, and two of the tile's nodes: (key, leads, node).
+
+    Leads are those with the least hash, so that one group of nodes has the same ones in its tiles.
+    """
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in (1, 2)]
+    led = tiles.groupBy("key").agg(F.array(*least).alias("leads"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key", "leads")
+    return materialize(tiles.join(led, "key").distinct().select("key", "leads", "node"), "tile-members")

@@ -11,16 +11,16 @@ its key is a hash of all shingles of a set that lie in the range.
 - In bands of larger sets ``RANGES`` (more for low thresholds) narrow ranges of about ``range_items`` shingles each are used. A link at the
   threshold agrees in none of them with a probability below 1e-9 (Poisson), a closer one still less often.
 
-In a tile each class is first compared with the tile's least class. Components of these links are then taken, and
-where a tile still holds several components, its classes of different components are compared as well; pairs in
-one component need no comparison. A pair is compared by bitmap signatures first: bits that only one of the
+In a tile each class is first compared with two of its classes. Components of these links are then taken, and
+where a tile still holds several components, its classes of different components are compared as well, the closest
+by bitmap first; pairs in one component need no comparison. A pair is compared by bitmap signatures first: bits that only one of the
 two has bound the overlap from above. Sorted arrays decide the rest exactly.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.components import connected_components, tile_links, tile_members
+from sparkloom.llm.components import Closeness, connected_components, tile_links, tile_members
 from sparkloom.llm.textkernel import U, mix, shingle_sets
 from sparkloom.session import materialize, ship
 
@@ -149,13 +149,19 @@ def overlap_bounds(a: np.ndarray, na: int, b: np.ndarray, nb: np.ndarray) -> np.
     return np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
 
 
-def closeness(threshold: Threshold) -> Callable[[np.ndarray, list[bytes]], Iterator[np.ndarray]]:
-    def close(n: np.ndarray, bits: list[bytes]) -> Iterator[np.ndarray]:
-        width = min(map(len, bits))
-        rows = np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits])
-        for i in range(len(n)):
-            total = n[i] + n[i + 1 :]
-            yield threshold.den * (bound := overlap_bounds(rows[i], n[i], rows[i + 1 :], n[i + 1 :])) >= threshold.num * (total - bound)
+def bitmaps(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of one width, the least of theirs."""
+    width = min(map(len, bits))
+    return np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits])
+
+
+def closeness(threshold: Threshold) -> Closeness:
+    """The highest similarity that bitmaps allow; 0 below the threshold."""
+
+    def close(i: int, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        total = n[i] + n
+        bound = overlap_bounds(bits[i], n[i], bits, n)
+        return np.where(threshold.den * bound >= threshold.num * (total - bound), bound / np.maximum(total - bound, 1), 0.0)
 
     return close
 
@@ -206,7 +212,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
         for x in batches:
             sizes = np.stack([x.column(c).to_numpy() for c in ("na", "nb")], axis=1)
             bits = zip(x.column("ba").to_pylist(), x.column("bb").to_pylist())
-            keep = [bool(next(close(n, list(p)))[0]) for n, p in zip(sizes, bits)]
+            keep = [close(0, n, bitmaps(list(p)))[1] > 0 for n, p in zip(sizes, bits)]
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +253,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # texts are shuffled whatever the number of classes is, so that the plan is one at every size
     sets = materialize(_sets(slim.join(materialize(involved, "jaccard-involved").hint("merge"), "doc_id"), k), "jaccard-sets")
     nodes = sets.select(F.col("sig").alias("node"), "n", "bits")
-    groups = connected_components(tile_links(members, nodes, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold)))
+    groups = connected_components(tile_links(members, nodes, bitmaps, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold)))
     named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n_shingles", "rep", F.coalesce("component", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "comp").select("sig", "n_shingles", "component_id")
