@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.textkernel import U, Words, buffers, mix, split_words
 from sparkloom.session import ship
 
-MAX_FIT_DOCS, MAX_FIT_BYTES = 10_000, 48_000_000
+MAX_FIT_DOCS, MAX_FIT_BYTES = 6_000, 16_000_000
 TABLE_BITS = 18
 PREFIXES = (4, 5, 6)
 #: Tokens of a training sequence, training sequences of either kind, steps.
