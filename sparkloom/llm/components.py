@@ -130,8 +130,14 @@ def tile_links(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[byt
 def tile_members(tiles: DataFrame) -> DataFrame:
     """(key, node) rows of tiles with several nodes, once each, and two of the tile's nodes: (key, leads, node).
 
-    Leads are those with the least hash, so that one group of nodes has the same ones in its tiles.
+    Leads are the least and the largest, so that one group of nodes has the same ones in its tiles.
     """
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in (1, 2)]
-    led = tiles.groupBy("key").agg(F.array(*least).alias("leads"), F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key", "leads")
+    led = tiles.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key", F.array("x", "y").alias("leads"))
     return materialize(tiles.join(led, "key").distinct().select("key", "leads", "node"), "tile-members")
+
+
+def close_nodes(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness) -> DataFrame:
+    """The nodes that can link with another one of a tile (column node)."""
+    rows = members.join(nodes, "node").select("key", "node", F.col("node").alias("comp"), "n", "bits")
+    pairs = _open_pairs(rows, prepare, close, True)
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
