@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_JSON_NAMES = {"int": "integer", "bigint": "long"}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from "name type, ..."; needs no session."""
+    schema = T.StructType()
+    for column in columns.split(", "):
+        name, kind = column.split(" ")
+        schema.add(name, _JSON_NAMES.get(kind, kind))
+    return schema
 
 
 STUDENT = _struct("student_id string, name string, age int, email string")
@@ -19,4 +27,4 @@ RESULT = _struct(
     "pipeline string, run_id string, batch_id int, executed_at timestamp, query_name string, log_date date, status_code int, resource_path string, log_hour int, request_count bigint, total_bytes bigint, distinct_hosts int, error_request_count int, total_request_count int, error_rate decimal(7,4), distinct_error_hosts int"
 )
 DOCUMENT_FREQUENCY = _struct("term string, df bigint")
-COMMAND = _struct("seq bigint, command string, args array<string>")
+COMMAND = _struct("seq bigint, command string").add("args", T.ArrayType(T.StringType()))
