@@ -7,7 +7,8 @@ or the sum of both exceeds its limit; a text that is too short for a histogram t
 by divergence. Base rules: fewer than 50 words, or more than half of the words in repeated 3-word windows.
 
 Words are runs of characters other than space and 0x09-0x0D. Null text counts as no words. A null or unlisted
-language has its own reference over the union of all common words. All counts are 0 for an empty text.
+language has its own reference over the union of all common words. All counts are 0 for an empty text. A language without a document fit for its
+reference has null distances, and divergence rejects none of its documents.
 """
 
 from __future__ import annotations
@@ -124,13 +125,13 @@ def histograms(docs: DataFrame) -> DataFrame:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (square root of the divergence, base 2) of two arrays of shares; 1 without a reference."""
+    """Jensen-Shannon distance (square root of the divergence, base 2) of two arrays of shares; null if one is."""
 
     def half(a: Column, b: Column) -> Column:
         terms = F.zip_with(a, b, lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0)))
         return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
-    return F.coalesce(F.sqrt(F.greatest((half(p, q) + half(q, p)) / 2, F.lit(0.0))), F.lit(1.0))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest((half(p, q) + half(q, p)) / 2, F.lit(0.0))))
 
 
 def _mean(column: str, most: int) -> Column:
@@ -147,7 +148,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     references = facts.where(judged & ~F.col("base_failed")).groupBy("lang").agg(_mean("chars", 6).alias("_q_chars"), _mean("common", size).alias("_q_common"))
     scored = facts.join(references, "lang", "left").withColumns({"char_distance": js_distance(F.col("chars"), F.col("_q_chars")), "word_distance": js_distance(F.col("common"), F.col("_q_common"))})
     diverges = judged & ((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("char_distance") + F.col("word_distance") > MAX_DISTANCES))
-    return scored.withColumn("kept", ~F.col("base_failed") & ~diverges)
+    return scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(diverges, F.lit(False)))
 
 
 def row_key() -> Column:

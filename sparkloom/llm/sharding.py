@@ -13,8 +13,9 @@ ordered and aren't supported). An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SHARDS = 24
 BUCKET_BYTES = 8 << 20
@@ -41,9 +42,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 1
     rows.write.partitionBy("shard").parquet(path)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """The written rows with their slot: shard, slot, record."""
-    rows = spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str, record: StructType) -> DataFrame:
+    """The written rows, ``record`` being their columns, with their slot: shard, slot, record."""
+    schema = StructType().add("bucket", "integer").add("place", "integer").add("record", record).add("shard", "integer")
+    rows = spark.read.schema(schema).parquet(path)
     # one row a bucket; the window runs over a shard's buckets
     sizes = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +56,7 @@ def read_shards(spark, path: str) -> DataFrame:
 def shard_digests(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """Write shards, read them back: doc_id, size, text_crc32, law, shard, slot, grown_shard of each record."""
     write_shards(docs.select("doc_id", "text"), path, shards, seed)
-    rows = read_shards(docs.sparkSession, path)
+    rows = read_shards(docs.sparkSession, path, docs.select("doc_id", "text").schema)
     text = F.col("record.text")
     return rows.select(
         F.col("record.doc_id").alias("doc_id"),

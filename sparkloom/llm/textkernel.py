@@ -58,7 +58,7 @@ class Words:
     def prefix(self, k: int) -> np.ndarray:
         """A hash of the first ``k`` (at most 8) bytes of each word."""
         n = np.minimum(self.end - self.start, k)
-        return mix(self.lanes[self.start] & _MASK[n] ^ U(k) * _GOLD)
+        return mix(self.lanes[self.start] & _MASK[n] ^ mix(np.array([k], np.uint64)))
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
