@@ -135,9 +135,3 @@ def tile_members(tiles: DataFrame) -> DataFrame:
     led = tiles.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key", F.array("x", "y").alias("leads"))
     return materialize(tiles.join(led, "key").distinct().select("key", "leads", "node"), "tile-members")
 
-
-def close_nodes(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness) -> DataFrame:
-    """The nodes that can link with another one of a tile (column node)."""
-    rows = members.join(nodes, "node").select("key", "node", F.col("node").alias("comp"), "n", "bits")
-    pairs = _open_pairs(rows, prepare, close, True)
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
