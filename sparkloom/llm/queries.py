@@ -47,9 +47,11 @@ def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = rollups.TokenTotals(spark, scratch(spark, "rollups"))
     load = rollups.inserts(version(facts, "words-1", n_tokens="estimate").unionByName(version(facts, "pieces-1", n_tokens="pieces")))
     recount = rollups.revisions(version(facts, "words-1", old_tokens="estimate", new_tokens="words"))
-    firsts = facts.groupBy("h").agg(F.min("doc_id").alias("first"))
-    later = facts.join(firsts, "h").where("doc_id > first")
-    copies = rollups.deletes(version(later, "words-1", n_tokens="words").unionByName(version(later, "pieces-1", n_tokens="pieces")))
+    # copies are counted by source and language before they meet their text's first document
+    kinds = facts.groupBy("h", "source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("pieces").alias("pieces"))
+    firsts = kinds.groupBy("h").agg(F.min("least").alias("first"))
+    later = kinds.join(firsts, "h").withColumn("n", F.col("n") - (F.col("least") == F.col("first")).cast("long")).where("n > 0")
+    copies = rollups.deletes(version(later, "words-1", n_tokens="words", n_docs="n").unionByName(version(later, "pieces-1", n_tokens="pieces", n_docs="n")))
     totals.apply("load", load)
     totals.apply("recount", recount)
     totals.apply("load", load)

@@ -18,13 +18,20 @@ KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
+def _signed(counts: DataFrame, sign: int) -> DataFrame:
+    copies = F.col("n_docs") if "n_docs" in counts.columns else F.lit(1)
+    copies = (sign * copies).cast("long")
+    return counts.select(*KEYS, copies.alias("n_docs"), (copies * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
+
+
 def inserts(counts: DataFrame) -> DataFrame:
-    """counts: KEYS and n_tokens, a row a document."""
-    return counts.select(*KEYS, F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    """counts: KEYS and n_tokens, a row a document, or a row for n_docs documents of n_tokens each."""
+    return _signed(counts, 1)
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), (-F.coalesce("n_tokens", F.lit(0))).cast("long").alias("n_tokens"))
+    """counts as for :func:`inserts`."""
+    return _signed(counts, -1)
 
 
 def revisions(counts: DataFrame) -> DataFrame:
