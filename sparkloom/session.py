@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     the session's checkpoint directory.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -45,14 +45,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a frame returned by :func:`materialize`."""
-    jvm = spark._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Give executors this package, so that functions pickled by reference import there."""
     sc = spark.sparkContext
