@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components, by union-find for few links and by alternating large-star and small-star steps for many.
 
 Labels move as (node, smaller node) rows; minima are pre-aggregated before they are shuffled, and joining them
 back is a plain equi-join that adaptive execution can split, so a node with very many links isn't gathered
@@ -14,14 +14,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import materialize, shared_dir
+from sparkloom.session import materialize, shared_dir, ship
 
 #: Rows of a key that meet in one task: two blocks of these.
 TILE_ROWS = 1024
+#: Edges (16 bytes each) that may meet in one task.
+GATHER = 2_000_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge, and it leads to a node without."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("from"), F.lit(0).alias("to")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("from").alias("f"), F.sum("to").alias("t"))
+    return seen.where("f > 1 or (f > 0 and t > 0)").isEmpty()
+
+
+def _union_find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -37,17 +60,18 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: two columns of longs. Returns (node, component) for every node with a link to another one;
-    component is the smallest node that it reaches. Null ends and self-links are ignored."""
+    component is the smallest node that it reaches. Null ends and self-links are ignored.
+
+    Up to ``GATHER`` different edges, counted first, meet in one task of an executor; more go through rounds of stars.
+    """
+    ship(edges.sparkSession)
     shared_dir(edges.sparkSession)
     a, b = edges.columns[:2]
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct().checkpoint()
-    before = _state(edges)
-    while True:
+    if edges.count() <= GATHER:
+        return edges.repartition(1).mapInArrow(_union_find, "node long, component long").checkpoint()
+    while not _settled(edges):
         edges = _star(_star(edges, False), True).checkpoint()
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
@@ -108,8 +132,8 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
     return met.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(work, "a long, b long").distinct()
 
 
-def tile_links(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links between nodes that share a tile, enough of them to connect all that link in a tile.
+def tile_groups(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (node, component) of the links between nodes that share a tile; nodes without a link have no row.
 
     ``members``: (key, leads, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
     a frame (a, b) that link. Each node is compared with the leads of its tiles. Where a tile still holds several
@@ -117,14 +141,21 @@ def tile_links(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[byt
     left, all pairs of different components that can link are compared. Pairs within one component are never made.
     """
     lead = members.select("node", F.explode("leads").alias("lead")).where("node != lead")
-    links = materialize(verify(lead.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()), "tile-links")
+    stars = lead.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    groups = connected_components(verify(stars))
+    still: DataFrame | None = None
     for nearest in (True, True, False):
-        placed = members.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        still = placed.join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits")
-        more = verify(_open_pairs(materialize(still, "tile-open"), prepare, close, nearest))
-        links = materialize(links.union(more), "tile-links")
-    return links
+        if still is None:
+            placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+            split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+            still = materialize(placed.join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits"), "tile-open")
+            if still.isEmpty():
+                break
+        more = materialize(verify(_open_pairs(still, prepare, close, nearest)), "tile-links")
+        if not more.isEmpty():
+            groups = connected_components(groups.union(more))
+            still = None
+    return groups
 
 
 def tile_members(tiles: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.components import Closeness, connected_components, tile_links, tile_members
+from sparkloom.llm.components import Closeness, tile_groups, tile_members
 from sparkloom.llm.textkernel import U, mix, shingle_sets
 from sparkloom.session import materialize, ship
 
@@ -253,7 +253,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # texts are shuffled whatever the number of classes is, so that the plan is one at every size
     sets = materialize(_sets(slim.join(materialize(involved, "jaccard-involved").hint("merge"), "doc_id"), k), "jaccard-sets")
     nodes = sets.select(F.col("sig").alias("node"), "n", "bits")
-    groups = connected_components(tile_links(members, nodes, bitmaps, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold)))
+    groups = tile_groups(members, nodes, bitmaps, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold))
     named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n_shingles", "rep", F.coalesce("component", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "comp").select("sig", "n_shingles", "component_id")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from sparkloom.llm import components
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.decontaminate import shingle_words, words_of
 from sparkloom.llm.jaccard import Bands, Threshold, bitmap, bitmaps, closeness, jaccard_components, overlap
@@ -86,7 +87,9 @@ def test_bitmaps_bound_from_above():
             assert closeness(t)(0, np.array([len(a), len(b)]), bitmaps([bitmap(a).tobytes(), bitmap(b).tobytes()]))[1] > 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("gather", [10**6, 0])
+def test_components_of_paths_and_stars(spark, monkeypatch, gather):
+    monkeypatch.setattr(components, "GATHER", gather)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(500, 540)] + [(7, 7), (None, 3)]
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in [1, *range(500, 540)]}
