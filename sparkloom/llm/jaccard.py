@@ -132,8 +132,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of the hashes' low ends; twice as many as shingles, 64 to 65536, a power of two."""
-    width = min(1 << 16, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    """Bits of the hashes' low ends; eight times as many as shingles, 64 to 2^18, a power of two."""
+    width = min(1 << 18, max(64, 1 << (8 * len(s) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(s & U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits)
