@@ -2,7 +2,7 @@
 
 Two states (clean, toxic); a token's features are hashes of the word and of its first 4, 5 and 6 bytes. Documents
 alone are labelled, so tokens get labels first: in a toxic document, those with a feature that occurs in so many
-toxic and so few other documents that chance doesn't explain it. The field is fitted to these by its gradient from
+contexts of toxic and so few of other documents that chance doesn't explain it. The field is fitted to these by its gradient from
 forward-backward. Documents are scored over all their tokens: the expected number of toxic tokens and the
 largest marginal enter a logistic function that is fitted to the labels. Tokens with a marginal of one half or
 more are offending; neighbours form one span.
@@ -28,7 +28,7 @@ from sparkloom.session import ship
 MAX_FIT_DOCS, MAX_FIT_BYTES = 6_000, 16_000_000
 TABLE_BITS = 18
 PREFIXES = (4, 5, 6)
-#: Tokens of a training sequence, training sequences of either kind, steps.
+#: Tokens of a training sequence, training sequences of each kind (toxic, clean with a feature of toxic ones, other), steps.
 WINDOW, MAX_WINDOWS, STEPS = 48, 6_000, 40
 _RUN = 12_000_000
 _PUNCT = np.zeros(256, bool)
@@ -113,20 +113,35 @@ def scores(link: np.ndarray, total: np.ndarray, most: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_inputs(total, most) @ link, -30, 30)))
 
 
-def label_tokens(f: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Token labels: tokens of toxic documents with a feature that marks toxic documents beyond chance."""
-    owner = np.repeat(np.arange(len(toxic)), np.diff(first))
-    share = max(toxic.mean(), 1e-3) if len(toxic) else 1e-3
-    hot = np.zeros(len(owner), bool)
+def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the words left and right of each token."""
+    n = len(h)
+    left, right = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    left[1:], right[:-1] = h[:-1], h[1:]
+    begin = first[:-1][np.diff(first) > 0]
+    left[begin] = 0
+    right[first[1:][np.diff(first) > 0] - 1] = 0
+    return mix(left ^ mix(right + U(1)))
+
+
+def label_tokens(f: np.ndarray, context: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Token labels: tokens of toxic documents with a feature that marks toxic documents beyond chance.
+
+    What counts is in how many different contexts a feature occurs in either kind of document, so that the words of
+    a toxic document don't become marks by its copies.
+    """
+    bad = np.repeat(toxic.astype(bool), np.diff(first))
+    share = min(max(bad.mean(), 1e-3), 0.5) if len(bad) else 1e-3
+    hot = np.zeros(len(bad), bool)
     for j in range(f.shape[1]):
-        pair = np.unique(owner.astype(np.int64) << 32 | f[:, j])
-        bad = toxic[pair >> 32].astype(bool)
-        where = (pair & 0xFFFFFFFF).astype(np.int64)
-        a = np.bincount(where[bad], minlength=f.max() + 1)
-        b = np.bincount(where[~bad], minlength=f.max() + 1)
+        counts = []
+        for kind in (bad, ~bad):
+            code = mix(context[kind] ^ mix(f[kind, j].astype(np.uint64)))
+            counts.append(np.bincount(f[kind, j][np.unique(code, return_index=True)[1]], minlength=f.max() + 1))
+        a, b = counts
         marks = (a >= 3) & (a * np.log(share) < np.log(1e-5)) & (b <= 0.02 * a)
         hot |= marks[f[:, j]]
-    return hot & toxic[owner].astype(bool)
+    return hot & bad
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Field:
@@ -137,14 +152,19 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Field:
         return field
     w = tokens(pa.array(texts, pa.string()))
     f = features(w)
-    y = label_tokens(f, w.first, toxic)
+    y = label_tokens(f, contexts(w.hashes(), w.first), w.first, toxic)
     # windows with and without toxic tokens
     begins = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(w.first[:-1], w.first[1:])])
     ends = np.minimum(begins + WINDOW, w.first[np.searchsorted(w.first, begins, "right")])
     hits = np.concatenate([[0], np.cumsum(y)])
     with_hit = hits[ends] > hits[begins]
+    # clean windows that share a feature with toxic tokens teach most
+    shared = np.zeros(size, bool)
+    shared[f[y].ravel()] = True
+    touches = np.concatenate([[0], np.cumsum(shared[f].any(axis=1) & ~y)])
+    hard = ~with_hit & (touches[ends] > touches[begins])
     rng = np.random.default_rng(seed)
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(x))[:MAX_WINDOWS] for x in (with_hit, ~with_hit)])
+    chosen = np.concatenate([rng.permutation(np.flatnonzero(x))[:MAX_WINDOWS] for x in (with_hit, hard, ~with_hit & ~hard)])
     take = np.concatenate([np.arange(begins[i], ends[i]) for i in chosen])
     first = np.concatenate([[0], np.cumsum(ends[chosen] - begins[chosen])])
     fx, yx = f[take], y[take].astype(float)
