@@ -18,6 +18,8 @@ from sparkloom.session import materialize, shared_dir, ship
 
 #: Rows of a key that meet in one task: two blocks of these.
 TILE_ROWS = 1024
+#: Rows of a tile up to which tiles are compared side by side.
+SMALL_GROUP = 256
 #: Edges (16 bytes each) that may meet in one task.
 GATHER = 2_000_000
 
@@ -80,7 +82,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
 Closeness = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, nearest: bool) -> DataFrame:
+#: The same for pairs of rows, given both rows' numbers and all bits.
+PairCloseness = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _small_groups(key: np.ndarray, comp: np.ndarray, bits: np.ndarray, close: PairCloseness, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows within runs of equal keys, neighbours at growing distances all at once."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    end = np.repeat(ends, np.diff(np.append(0, ends)))
+    best, partner = np.zeros(len(key)), np.full(len(key), -1)
+    found, i, d = [], np.arange(len(key)), 1
+    while len(i := i[i + d < end[i]]):
+        j = i + d
+        score = np.where(comp[i] != comp[j], close(i, j, bits), 0)
+        if nearest:
+            for x, y in ((i, j), (j, i)):
+                better = score > best[x]
+                best[x[better]], partner[x[better]] = score[better], y[better]
+        else:
+            found.append(np.stack([i[score > 0], j[score > 0]]))
+        d += 1
+    if nearest:
+        i = np.flatnonzero(partner >= 0)
+        return i, partner[i]
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, nearest: bool, together: PairCloseness | None = None) -> DataFrame:
     """Candidate pairs (a, b) among rows (key, node, comp, n, bits) of a key, of different components.
 
     ``nearest``: of each node only the pair with the closest one; else all that can link. A key's rows are dealt to
@@ -123,8 +152,16 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             code = [b.column(c).to_numpy() for c in columns]
             cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in code], axis=0)) + 1
-            for begin, end in zip([0, *cut[:-1].tolist()], cut.tolist()):
-                yield from pairs(b, begin, end)
+            begin = np.append(0, cut[:-1])[: len(cut)]
+            small = (cut - begin <= SMALL_GROUP) & (code[1][begin] == code[2][begin]) if together else np.zeros(len(cut), bool)
+            if small.any():
+                take = np.concatenate([np.arange(x, y) for x, y in zip(begin[small].tolist(), cut[small].tolist())])
+                node, comp = (b.column(c).to_numpy()[take] for c in ("node", "comp"))
+                group = np.repeat(np.arange(small.sum()), (cut - begin)[small])
+                i, j = _small_groups(group, comp, prepare(b.column("bits").take(pa.array(take)).to_pylist()), together, nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+            for x, y in zip(begin[~small].tolist(), cut[~small].tolist()):
+                yield from pairs(b, x, y)
             held = b.slice(int(cut[-1]) if len(cut) else 0)
         if held is not None:
             yield from pairs(held, 0, held.num_rows)
@@ -132,9 +169,10 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
     return met.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(work, "a long, b long").distinct()
 
 
-def tile_groups(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def tile_groups(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, verify: Callable[[DataFrame], DataFrame], together: PairCloseness | None = None) -> DataFrame:
     """Components (node, component) of the links between nodes that share a tile; nodes without a link have no row.
 
+    ``together`` is ``close`` for many pairs at once; with it, small tiles are compared side by side.
     ``members``: (key, leads, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
     a frame (a, b) that link. Each node is compared with the leads of its tiles. Where a tile still holds several
     components, each node is compared with the closest one of another component, twice; then, in what is
@@ -151,7 +189,7 @@ def tile_groups(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[by
             still = materialize(placed.join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits"), "tile-open")
             if still.isEmpty():
                 break
-        more = materialize(verify(_open_pairs(still, prepare, close, nearest)), "tile-links")
+        more = materialize(verify(_open_pairs(still, prepare, close, nearest, together)), "tile-links")
         if not more.isEmpty():
             groups = connected_components(groups.union(more))
             still = None
