@@ -53,10 +53,6 @@ def _covered(positions: Column) -> Column:
     return F.size(F.array_distinct(spread)).cast("long")
 
 
-def _both(pairs: Column, of: str) -> Column:
-    return F.array_distinct(F.concat(F.transform(pairs, lambda x: x["0"][of]), F.transform(pairs, lambda x: x["1"][of])))
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
