@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.logs import LENIENT
-from sparkloom.functions.text import MARKUP, STOP_WORDS, WORD_GAP, clean_words, word_frame
+from sparkloom.functions.text import MARKUP, STOP_WORDS, WORD_GAP, word_frame
 from sparkloom.operators import cooccur, fragments, traffic, words
 from sparkloom.session import table
 from sparkloom.sources import adapters
@@ -382,7 +382,7 @@ def replay_grades(spark: SparkSession, d: str) -> DataFrame:
     return fragments.replay_grades(adapters.commands(spark, d))
 
 
-@query(f"with {_REPLAY} select seq, case when since < seq then concat(name, ',', email) else 'NULL' end as result from commands c left join (select student_id, since, students.name, students.email from students) s using (student_id) where command = 'READ_PROFILE'".replace("concat(name, ',', email)", "concat(s.name, ',', s.email)"))
+@query(f"with {_REPLAY} select seq, case when since < seq then concat(s.name, ',', s.email) else 'NULL' end as result from commands c left join (select student_id, since, students.name, students.email from students) s using (student_id) where command = 'READ_PROFILE'")
 def student_profile(spark: SparkSession, d: str) -> DataFrame:
     return fragments.profiles(adapters.commands(spark, d))
 
