@@ -86,33 +86,23 @@ Closeness = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 PairCloseness = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _small_groups(key: np.ndarray, comp: np.ndarray, bits: np.ndarray, close: PairCloseness, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(key: np.ndarray, comp: np.ndarray, bits: np.ndarray, close: PairCloseness) -> np.ndarray:
     """Candidate pairs of rows within runs of equal keys, neighbours at growing distances all at once."""
     ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
     end = np.repeat(ends, np.diff(np.append(0, ends)))
-    best, partner = np.zeros(len(key)), np.full(len(key), -1)
-    found, i, d = [], np.arange(len(key)), 1
+    found, i, d = [np.empty((2, 0), np.int64)], np.arange(len(key)), 1
     while len(i := i[i + d < end[i]]):
         j = i + d
-        score = np.where(comp[i] != comp[j], close(i, j, bits), 0)
-        if nearest:
-            for x, y in ((i, j), (j, i)):
-                better = score > best[x]
-                best[x[better]], partner[x[better]] = score[better], y[better]
-        else:
-            found.append(np.stack([i[score > 0], j[score > 0]]))
+        hit = (comp[i] != comp[j]) & (close(i, j, bits) > 0)
+        found.append(np.stack([i[hit], j[hit]]))
         d += 1
-    if nearest:
-        i = np.flatnonzero(partner >= 0)
-        return i, partner[i]
-    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    return both[0], both[1]
+    return np.concatenate(found, axis=1)
 
 
 def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], close: Closeness, nearest: bool, together: PairCloseness | None = None) -> DataFrame:
     """Candidate pairs (a, b) among rows (key, node, comp, n, bits) of a key, of different components.
 
-    ``nearest``: of each node only the pair with the closest one; else all that can link. A key's rows are dealt to
+    All that can link; with ``nearest``, of nodes in tiles of over ``SMALL_GROUP`` rows only the closest one. A key's rows are dealt to
     blocks of about ``TILE_ROWS``; each two blocks of a key meet in a task of their own, so no task holds more
     than two blocks of a key, however many rows the key has.
     """
@@ -129,13 +119,14 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
         if comp.min() == comp.max():
             return
         bits = prepare(part.column("bits").to_pylist())
+        only_nearest = nearest and (i != j or len(node) > SMALL_GROUP)
         a, b = [], []
         for at in range(len(node)):
             score = close(at, n, bits)
             score[comp == comp[at]] = 0
             if i != j:
                 score[own == own[at]] = 0
-            near = np.array([score.argmax()]) if nearest else np.flatnonzero(score[at + 1 :] > 0) + at + 1
+            near = np.array([score.argmax()]) if only_nearest else np.flatnonzero(score[at + 1 :] > 0) + at + 1
             near = near[score[near] > 0]
             a.append(np.full(len(near), node[at]))
             b.append(node[near])
@@ -158,7 +149,7 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
                 take = np.concatenate([np.arange(x, y) for x, y in zip(begin[small].tolist(), cut[small].tolist())])
                 node, comp = (b.column(c).to_numpy()[take] for c in ("node", "comp"))
                 group = np.repeat(np.arange(small.sum()), (cut - begin)[small])
-                i, j = _small_groups(group, comp, prepare(b.column("bits").take(pa.array(take)).to_pylist()), together, nearest)
+                i, j = _small_groups(group, comp, prepare(b.column("bits").take(pa.array(take)).to_pylist()), together)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
             for x, y in zip(begin[~small].tolist(), cut[~small].tolist()):
                 yield from pairs(b, x, y)
@@ -175,24 +166,25 @@ def tile_groups(members: DataFrame, nodes: DataFrame, prepare: Callable[[list[by
     ``together`` is ``close`` for many pairs at once; with it, small tiles are compared side by side.
     ``members``: (key, leads, node) of :func:`tile_members`; ``nodes``: (node, n, bits). ``verify`` keeps those rows of
     a frame (a, b) that link. Each node is compared with the leads of its tiles. Where a tile still holds several
-    components, each node is compared with the closest one of another component, twice; then, in what is
-    left, all pairs of different components that can link are compared. Pairs within one component are never made.
+    components, all its pairs of different components that can link are compared; in a large tile each node is
+    compared with the closest one of another component first, twice. Pairs within one component are never made.
     """
     lead = members.select("node", F.explode("leads").alias("lead")).where("node != lead")
     stars = lead.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     groups = connected_components(verify(stars))
-    still: DataFrame | None = None
-    for nearest in (True, True, False):
-        if still is None:
+    rows: DataFrame | None = None
+    for turn, nearest in enumerate((True, True, False)):
+        if rows is None:
             placed = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-            split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-            still = materialize(placed.join(split, "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits"), "tile-open")
-            if still.isEmpty():
+            split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x != y")
+            split = split.where(F.col("n") > SMALL_GROUP) if turn else split  # small tiles are done in the first turn
+            rows = materialize(placed.join(split.select("key"), "key", "left_semi").join(nodes, "node").select("key", "node", "comp", "n", "bits"), "tile-open")
+            if rows.isEmpty():
                 break
-        more = materialize(verify(_open_pairs(still, prepare, close, nearest, together)), "tile-links")
-        if not more.isEmpty():
+        more = materialize(verify(_open_pairs(rows, prepare, close, nearest, together)), "tile-links")
+        if not more.isEmpty() or not turn:
             groups = connected_components(groups.union(more))
-            still = None
+            rows = None
     return groups
 
 
