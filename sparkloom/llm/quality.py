@@ -165,3 +165,37 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     same = (row_key() == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
     # a merge join whatever the number of rows is: one plan at every size
     return docs.join(bad.hint("merge"), same, "left_anti")
+
+
+def score_sql(documents: str = "documents") -> str:
+    """doc_id, the counts, base_failed and kept in DuckDB SQL."""
+
+    def counts(words: list[str]) -> str:
+        return "[" + ", ".join(f"len(list_filter(w, lambda x: lower(x) = '{x}'))" for x in words) + "]"
+
+    every = sorted(set(reduce(add, COMMON_WORDS.values())))
+    by_lang = " ".join(f"when '{lang}' then {counts(words)}" for lang, words in COMMON_WORDS.items())
+    classes = ", ".join(f"length(regexp_replace(t, '[^\\p{{{c}}}]+', '', 'g'))" for c in ("Lu", "Ll", "Nd", "P"))
+
+    def distance(p: str, q: str) -> str:
+        half = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: case when {0}[i] > 0 then {0}[i] * log2(2 * {0}[i] / ({0}[i] + {1}[i])) else 0.0 end))"
+        return f"sqrt(greatest(({half.format(p, q)} + {half.format(q, p)}) / 2, 0.0))"
+
+    def mean(column: str) -> str:
+        return f"(select lang, list(m order by i) q from (select lang, i, avg({column}[i]) m from (select lang, {column}, unnest(range(1, len({column}) + 1)) i from fit) group by lang, i) group by lang)"
+
+    return f"""
+        with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') lang from {documents}),
+        w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from d),
+        windows as (select doc_id, unnest(range(1, len(w) - 1)) i, unnest([w[j:j + 2] for j in range(1, len(w) - 1)]) x from w where len(w) > 2),
+        twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, x) > 1),
+        covered as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from twice) group by doc_id),
+        counted as (select doc_id, lang, len(w) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols,
+            len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(covered.n, 0) n_repeat_words, length(t) whole, [{classes}] classes, case lang {by_lang} else {counts(every)} end common
+            from w left join covered using (doc_id)),
+        shares as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, whole >= {MIN_CHARS} and n_words >= {MIN_WORDS} judged,
+            list_transform(classes || [whole - word_chars, word_chars - list_sum(classes)], lambda x: x / greatest(whole, 1)) p, list_transform(common || [n_words - list_sum(common)], lambda x: x / greatest(n_words, 1)) c from counted),
+        fit as (select * from shares where judged and not base_failed),
+        far as (select shares.*, {distance("p", "a.q")} char_distance, {distance("c", "b.q")} word_distance from shares left join {mean("p")} a using (lang) left join {mean("c")} b using (lang))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            not base_failed and not coalesce(judged and (char_distance > {MAX_CHAR_DISTANCE} or char_distance + word_distance > {MAX_DISTANCES}), false) kept from far"""

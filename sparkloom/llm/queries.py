@@ -31,7 +31,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(table(spark, sf_dir, "documents"))
+    return quality.score_documents(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,16 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, item_id, n as n_item_shingles, count(*) as n_common, count(*) / n as containment
         from si join sd using (s) join q using (item_id) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
     "op2_licence_sentences": licences.scan_sql(),
+    "op4_quality_divergence": quality.score_sql(),
+    "op7_ngram_jaccard": f"""
+        with recursive w as (select doc_id, {_WORDS} w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) >= 3 then [w[j:j + 2] for j in range(1, len(w) - 1)] when len(w) > 0 then [w] else [] end) s from w),
+        n as (select doc_id, count(s) n from w left join s using (doc_id) group by doc_id),
+        links as (select a.doc_id a, b.doc_id b from s a join s b on a.s = b.s and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+            group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        ways as (select a, b from links union all select b, a from links),
+        reach(doc_id, r) as (select doc_id, doc_id from n union select ways.b, r from reach join ways on ways.a = reach.doc_id)
+        select doc_id, n as n_shingles, min(r) as component_id from reach join n using (doc_id) group by doc_id, n""",
     "op8_token_rollups": r"""
         with d as (select source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words, len(regexp_extract_all(t, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) as pieces
             from (select source, lang, coalesce(text, '') t from documents qualify doc_id = min(doc_id) over (partition by coalesce(text, ''))))
