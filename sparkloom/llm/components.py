@@ -121,15 +121,23 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
         bits = prepare(part.column("bits").to_pylist())
         only_nearest = nearest and (i != j or len(node) > SMALL_GROUP)
         a, b = [], []
-        for at in range(len(node)):
-            score = close(at, n, bits)
-            score[comp == comp[at]] = 0
+        every = np.arange(len(node))
+        step = 128 if together else 1
+        for at in range(0, len(node), step):
+            some = every[at : at + step, None]
+            score = together(some, every, bits) if together else close(at, n, bits)[None, :]
+            score = np.where(comp[some] != comp, score, 0)
             if i != j:
-                score[own == own[at]] = 0
-            near = np.array([score.argmax()]) if only_nearest else np.flatnonzero(score[at + 1 :] > 0) + at + 1
-            near = near[score[near] > 0]
-            a.append(np.full(len(near), node[at]))
-            b.append(node[near])
+                score[own[some] == own] = 0
+            if only_nearest:
+                best = score.argmax(axis=1)
+                hit = score[np.arange(len(best)), best] > 0
+                left, right = every[at : at + step][hit], best[hit]
+            else:
+                left, right = np.nonzero((score > 0) & (every > some))
+                left = left + at
+            a.append(node[left])
+            b.append(node[right])
         x, y = np.concatenate(a), np.concatenate(b)
         found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
