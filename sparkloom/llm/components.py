@@ -19,7 +19,7 @@ from sparkloom.session import materialize, shared_dir, ship
 #: Rows of a key that meet in one task: two blocks of these.
 TILE_ROWS = 1024
 #: Rows of a tile up to which tiles are compared side by side.
-SMALL_GROUP = 256
+SMALL_GROUP = 64
 #: Edges (16 bytes each) that may meet in one task.
 GATHER = 2_000_000
 
