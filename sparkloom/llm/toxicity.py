@@ -208,18 +208,22 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 5) -> Field:
 def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_bytes: int = MAX_FIT_BYTES) -> Field:
     """Fit to rows of ``labels`` (doc_id, toxic) and their texts in ``docs``; the caller leaves out held-out rows.
 
-    Rows with a null id or label are ignored; of repeated labels of a document the largest counts.
+    Rows with a null id or label are ignored; of repeated labels of a document the largest counts. A document that
+    doesn't fit into ``max_bytes`` any more is passed over. An error if documents of both labels exist and the sample has
+    not both.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_docs rows at most
-    sizes = [(r[0], r[1]) for r in rows.select("doc_id", F.octet_length("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect()]
-    total, ids = 0, []
-    for i, n in sizes:
-        total += n or 0
-        if total > max_bytes:
-            break
-        ids.append(i)
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), F.max("toxic").alias("toxic"))
+    total, ids, kinds = 0, [], set()
+    for i, n, mark in sizes.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect():
+        if total + (n or 0) <= max_bytes:
+            total += n or 0
+            ids.append(i)
+            kinds.add(mark > 0)
+    if len(kinds) < 2 and docs.select("doc_id").join(known, "doc_id").select(F.col("toxic") > 0).distinct().count() > 1:
+        raise ValueError(f"{len(ids)} labelled documents of {max_docs} rows and {max_bytes} bytes don't have both labels")
     session = docs.sparkSession
     kept = session.createDataFrame([(i,) for i in ids], "doc_id long").distinct() if ids else None
     taken = rows.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id") if kept is not None else None
