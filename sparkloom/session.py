@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a local folder is chosen once and kept in
-    the session's checkpoint directory.
+    Where a session on one machine (``local`` master) names none, a local folder is chosen once and kept in
+    the session's checkpoint directory; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,10 +40,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from files, not lineage."""
+    """Write ``df`` to the shared folder and read it back: later jobs start from files, not lineage.
+
+    The job's shuffle files are of no use then; Spark removes them once the driver has collected what refers to them.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
