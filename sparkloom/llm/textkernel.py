@@ -43,9 +43,9 @@ class Words:
     first: np.ndarray
     lanes: np.ndarray
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         size = self.end - self.start
-        h = mix(size.astype(np.uint64) + _GOLD)
+        h = mix(size.astype(np.uint64) + _GOLD ^ U(seed) << U(48))
         live, at = np.arange(len(size)), 0
         while len(live):
             left = size[live] - at
