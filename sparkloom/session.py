@@ -42,12 +42,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from files, not lineage.
 
-    The job's shuffle files are of no use then; Spark removes them once the driver has collected what refers to them.
+    Shuffle files of the jobs before are of no use then; Spark removes them once the driver has collected what refers to them.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
