@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.textkernel import U, chunks, shingles, split_words
+from sparkloom.llm.textkernel import U, chunks, distinct, shingles, split_words
 from sparkloom.session import ship
 
 #: Items of a block.
@@ -72,7 +72,7 @@ class Index:
             s, owner, _ = shingles(w.hashes(), w.first, width)
             for i in range(len(offsets) - 1):
                 item_id, text = some[len(hashes)]
-                own = np.unique(s[owner == i])
+                own = distinct(s[owner == i])
                 # a partition's signature length is that of its largest size
                 top = (1 << (len(own) - 1).bit_length()) if len(own) > 1 else 1
                 length = min(len(own), top - needed(top, self.num, self.den) + 1)
