@@ -20,6 +20,8 @@ from sparkloom.session import materialize, shared_dir, ship
 TILE_ROWS = 1024
 #: Rows of a tile up to which tiles are compared side by side.
 SMALL_GROUP = 64
+#: Keys of over one block (12 bytes each) up to which they are broadcast.
+BROADCAST_KEYS = 100_000
 #: Edges (16 bytes each) that may meet in one task.
 GATHER = 2_000_000
 
@@ -106,8 +108,11 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
     blocks of about ``TILE_ROWS``; each two blocks of a key meet in a task of their own, so no task holds more
     than two blocks of a key, however many rows the key has.
     """
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("_blocks")).where("_blocks > 1"), "tile-blocks")
+    # few keys have more than one block; if not, the join deals them out, and its skewed partitions can be split
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    dealt = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = dealt.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits")
     columns = ["key", "i", "j"]
@@ -139,8 +144,11 @@ def _open_pairs(rows: DataFrame, prepare: Callable[[list[bytes]], np.ndarray], c
             a.append(node[left])
             b.append(node[right])
         x, y = np.concatenate(a), np.concatenate(b)
-        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -201,6 +209,8 @@ def tile_members(tiles: DataFrame) -> DataFrame:
 
     Leads are the least and the largest, so that one group of nodes has the same ones in its tiles.
     """
-    led = tiles.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key", F.array("x", "y").alias("leads"))
-    return materialize(tiles.join(led, "key").distinct().select("key", "leads", "node"), "tile-members")
+    led = tiles.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    # dealt by node too, so that the rows of a key aren't one task's
+    rows = tiles.join(led, "key").repartition("key", "node").groupBy("key", "x", "y", "node").count()
+    return materialize(rows.select("key", F.array("x", "y").alias("leads"), "node"), "tile-members")
 

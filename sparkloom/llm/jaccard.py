@@ -5,11 +5,12 @@ Documents with equal sets form a class, and classes are joined. Set sizes fall i
 with a set there. Within a band the hash space is cut into ranges, and a tile is one range with one content:
 its key is a hash of all shingles of a set that lie in the range.
 
-- In a band where linked sets can differ in at most D shingles and D is small, D + 1 ranges and one or two spare
-  ones cover the whole space, so two linked sets agree in more ranges than are spare: no link is lost. A set joins
-  the tiles of its ranges that aren't empty, and if more are empty than are spare, those of the empty ones too.
-- In bands of larger sets ``RANGES`` (more for low thresholds) narrow ranges of about ``range_items`` shingles each are used. A link at the
-  threshold agrees in none of them with a probability below 1e-9 (Poisson), a closer one still less often.
+- Linked sets of a band differ in at most D shingles. D + 1 ranges and a few spare ones cover the whole space, so two
+  linked sets agree in more ranges than are spare: no link is lost. A set joins the tiles of its ranges that
+  aren't empty, and if more are empty than are spare (there are so many spare ones that this is rare in large sets), those of
+  the empty ones too.
+- Where the threshold is so low that D + 1 ranges would mostly be empty, the tiles are single shingles: of a set of n
+  those n - c + 1 with the least hashes, c being how many it must share with any other. Linked sets have one of these in common.
 
 In a tile each class is first compared with two of its classes. Components of these links are then taken, and
 where a tile still holds several components, its classes of different components are compared as well, the closest
@@ -33,7 +34,8 @@ from sparkloom.llm.textkernel import U, mix, shingle_sets
 from sparkloom.session import materialize, ship
 
 BAND_RATIO = 1.5
-RANGES = 64
+#: Differing shingles up to which one range is spare; shingles that a range of larger sets must have on average.
+FEW, RANGE_ITEMS = 20, 1.5
 _SALT = U(0xD6E8FEB86659FD93)
 
 
@@ -54,9 +56,10 @@ class Threshold:
 
 @dataclass
 class Band:
+    """Without ranges (``begin`` is empty) tiles are single shingles."""
+
     low: int
     high: int
-    exact: bool
     spare: int
     begin: np.ndarray
     end: np.ndarray
@@ -70,38 +73,39 @@ class Bands:
         self.threshold = threshold
         self.edges = [1]
         self.made: dict[int, Band | None] = {}
-        share = (threshold.den - threshold.num) / (threshold.den + threshold.num) * 2
-        # the widest ranges that still agree often enough; a low threshold needs more of them
-        choices = ((n, m) for n in (RANGES << i for i in range(8)) for m in np.arange(12, 0.4, -0.25) if self.miss(m, share, n) < 1e-9)
-        self.ranges, self.range_items = next(choices)
-
-    @staticmethod
-    def miss(items: float, share: float, ranges: int) -> float:
-        """Chance that none of the ranges agrees and is not empty, at the threshold, for the least sets of a band."""
-        least = items / BAND_RATIO * 0.8
-        return (1 - math.exp(-items * share) * (1 - math.exp(-least))) ** ranges
 
     def _edge(self, k: int) -> int:
         while len(self.edges) <= k:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND_RATIO)))
         return self.edges[k]
 
+    @staticmethod
+    def _spare(most: int, least: int) -> int:
+        """Spare ranges, so that sets of ``least`` shingles rarely have more empty ones; 0 if that can't be."""
+        if most < FEW:
+            return 1
+        spare = 2
+        while True:
+            n = most + 1 + spare
+            if RANGE_ITEMS * n > least:
+                return 0
+            empty = n * math.exp(-least / n)
+            wanted = 2 + math.ceil(empty + 4 * math.sqrt(empty))
+            if wanted <= spare:
+                return spare
+            spare = wanted
+
     def band(self, k: int) -> Band | None:
         """None where only equal sets link."""
         if k not in self.made:
             low, high = self._edge(k), self._edge(k + 1) - 1
             most = self.threshold.difference(2 * high)
-            spare = 1 + (most >= 20)
-            n = most + 1 + spare
-            if most == 0:
-                self.made[k] = None
-            elif n <= self.ranges:
-                at = [i * 2**64 // n for i in range(n)]
-                self.made[k] = Band(low, high, True, spare, np.array(at, np.uint64), np.array([x - 1 for x in at[1:]] + [2**64 - 1], np.uint64), mix(np.arange(n, dtype=np.uint64) + U(k << 32)))
-            else:
-                width = int(2**64 * float(self.range_items) / high)
-                at = [i * 2**64 // self.ranges for i in range(self.ranges)]
-                self.made[k] = Band(low, high, False, 0, np.array(at, np.uint64), np.array([min(x + width, x + 2**64 // self.ranges) - 1 for x in at], np.uint64), mix(np.arange(self.ranges, dtype=np.uint64) + U(k << 32)))
+            spare = self._spare(most, low * self.threshold.num // self.threshold.den)
+            n = most + 1 + spare if spare else 0
+            at = [i * 2**64 // n for i in range(n)]
+            end = [x - 1 for x in at[1:]] + [2**64 - 1][: len(at)]
+            salt = mix(np.arange(max(n, 1), dtype=np.uint64) + U(k << 32))
+            self.made[k] = Band(low, high, spare, np.array(at, np.uint64), np.array(end, np.uint64), salt) if most else None
         return self.made[k]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
@@ -115,10 +119,13 @@ class Bands:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ _SALT))])
         out = []
         while True:
-            if (b := self.band(k)) is not None:
-                i, j = np.searchsorted(s, b.begin, "left"), np.searchsorted(s, b.end, "right")
+            if (b := self.band(k)) is not None and not b.spare:
+                out.append(mix(s[: n - -(-n * t.num // t.den) + 1] + b.salt))
+            elif b is not None:
+                cut = np.append(np.searchsorted(s, b.begin, "left"), n)
+                i, j = cut[:-1], cut[1:]
                 full = i < j
-                if b.exact and len(full) - np.count_nonzero(full) > b.spare:
+                if len(full) - np.count_nonzero(full) > b.spare:
                     full[:] = True
                 out.append(mix((total[j] - total[i])[full] + b.salt[full]))
             k += 1
@@ -174,16 +181,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _base(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """doc_id, n_shingles, sig, keys; of equal sets of a batch only the first one's keys (null ids have none)."""
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(threshold)
+        bands, none = Bands(threshold), np.empty(0, np.int64)
         for b in batches:
+            seen: set[int] = set()
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 n, sig, keys = [], [], []
-                for s in shingle_sets(part.column("text"), k):
+                known = part.column("doc_id").is_valid().to_pylist()
+                for own, s in zip(known, shingle_sets(part.column("text"), k)):
                     n.append(len(s))
                     sig.append(set_id(s))
-                    keys.append(bands.keys(s).view(np.int64))
+                    first = own and sig[-1] not in seen
+                    keys.append(bands.keys(s).view(np.int64) if first else none)
+                    if first:
+                        seen.add(sig[-1])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), lists], ["doc_id", "n_shingles", "sig", "keys"])
