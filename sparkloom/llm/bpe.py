@@ -158,22 +158,18 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes columns of texts; keeps the packed ids (little-endian uint32) of pre-tokens it has met.
+    """Encodes columns of texts; keeps the packed ids (little-endian uint32) of pre-tokens it has met."""
 
-    ``learn`` gives the ids of distinct pre-tokens; by default the pair occurrence index does.
-    """
-
-    def __init__(self, path: str, learn: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        if learn is None and not self.vocab.ascending:
+        if not self.vocab.ascending:
             raise ValueError("merges must form a training order: each token made once, after its parts")
-        self.learn = learn or self.vocab.index_encode
         self.words: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         words = self.words
         if new:
-            for w, ids in zip(new, self.learn(new)):
+            for w, ids in zip(new, self.vocab.index_encode(new)):
                 words[w] = np.array(ids, "<u4").tobytes()
 
     def _slow(self, text: str) -> bytes:

@@ -2,9 +2,9 @@
 
 ``write_tokens`` orders documents by id, encodes each whole text, appends an end id and packs all ids of a
 partition into sequences of ``length`` ids. Each file holds record batches of two columns,
-``input_ids`` fixed_size_list<uint16 or uint32>[length] and ``mask`` fixed_size_list<bool>[length]; every
-sequence has the same byte size, so sequence i is found by arithmetic. The last sequence of a file is padded
-with id 0 under a false mask. Beside it lies an index file with each document's id, first position and length.
+``input_ids`` fixed_size_list<uint16 or uint32>[length] and ``mask`` fixed_size_list<uint8>[length] (1 or 0; bytes, for bits
+could not be read without a copy); every sequence has the same byte size, so sequence i is found by arithmetic. The last sequence of a file is padded
+with id 0 under mask 0. Beside it lies an index file with each document's id, first position and length.
 
 Null text counts as empty: its document has the end id alone. Rows with equal doc_id keep one entry each, in
 an unspecified order among themselves; a null doc_id sorts first. An empty table gives no file and no rows.
@@ -16,15 +16,18 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.bpe import Encoder, runs
+from sparkloom.llm.bpe import runs
 from sparkloom.session import ship
 
 #: Sequences in a record batch.
@@ -32,37 +35,19 @@ BATCH_ROWS = 256
 MANIFEST = "part int, ids_file string, index_file string, n_ids long, n_docs long, n_sequences long"
 READ = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
-_encoders: dict[str, Encoder] = {}
+_tools: dict[str, Any] = {}
 
 
-def library_encoder(path: str) -> Encoder:
-    """An encoder that has the tokenizers library encode each distinct pre-token once.
-
-    Pre-tokens are encoded independently of each other, so a text's ids are those of its pre-tokens in a row;
-    the library gets many at once, apart by spaces, and each one's last id is known by its word-end mark.
-    """
-    if path not in _encoders:
+def library(path: str) -> Any:
+    """A vocabulary file as a tokenizer of the tokenizers library, one a worker process."""
+    if path not in _tools:
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
         tool.no_truncation()
         tool.no_padding()
-        made = Encoder(path, lambda words: learn(words))
-        last = np.array([t.endswith(made.vocab.suffix) and t not in made.vocab.special for t in made.vocab.tokens])
-
-        def learn(words: list[str]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for at in range(0, len(words), 1000):
-                some = words[at : at + 1000]
-                ids = np.array(tool.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-                ends = np.flatnonzero(last[ids]) + 1
-                if len(ends) != len(some):
-                    raise ValueError("the vocabulary doesn't mark word ends")
-                out += np.split(ids, ends[:-1])
-            return out
-
-        _encoders[path] = made
-    return _encoders[path]
+        _tools[path] = tool
+    return _tools[path]
 
 
 def _save(where: fs.FileSystem, path: str, table: Iterable[pa.RecordBatch], schema: pa.Schema) -> None:
@@ -84,21 +69,24 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, l
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc = library_encoder(vocabulary)
-        kind = np.uint16 if len(enc.vocab.tokens) <= 1 << 16 else np.uint32
+        tool = library(vocabulary)
+        kind = np.uint16 if max(tool.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         names, begins, counts, whole = [], [], [], []
         rest, done = np.empty(0, kind), 0
         where, folder = fs.FileSystem.from_uri(path)
         where.create_dir(folder)
-        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+        schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
 
         def sequences() -> Iterator[pa.RecordBatch]:
             nonlocal rest, done
             for b in batches:
                 for at, run in runs(b.column("text")):
-                    flat, offsets = enc.encode(run)
-                    ids = np.insert(flat.astype(kind), offsets[1:], end_id)
-                    size = np.diff(offsets) + 1
+                    found = [e.ids for e in tool.encode_batch_fast(pc.fill_null(run, "").to_pylist(), add_special_tokens=False)]
+                    size = np.fromiter(map(len, found), np.int64, len(found)) + 1
+                    ids = np.full(int(size.sum()), end_id, kind)
+                    inner = np.ones(len(ids), bool)
+                    inner[np.cumsum(size) - 1] = False
+                    ids[inner] = np.fromiter(chain.from_iterable(found), kind, len(ids) - len(found))
                     names.append(b.column("doc_id").slice(at, len(run)))
                     begins.append(done + np.concatenate([[0], np.cumsum(size)[:-1]]))
                     counts.append(size)
@@ -114,7 +102,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, l
 
         def packed(flat: np.ndarray, real: int) -> pa.RecordBatch:
             whole.append(len(flat) // length)
-            return pa.record_batch([_fixed(flat, schema.field(0).type.value_type, length), _fixed(np.arange(len(flat)) < real, pa.bool_(), length)], schema=schema)
+            return pa.record_batch([_fixed(flat, schema.field(0).type.value_type, length), _fixed((np.arange(len(flat)) < real).astype(np.uint8), pa.uint8(), length)], schema=schema)
 
         ready = sequences()
         first = next(ready, None)
@@ -132,7 +120,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, l
 
 
 class TokenFile:
-    """Random access to one file: ``sequence(i)`` is a view into the mapped file."""
+    """Random access to one file: ``sequence(i)`` and ``mask(i)`` are views into the mapped file."""
 
     def __init__(self, where: fs.FileSystem, path: str):
         local = isinstance(where, fs.LocalFileSystem)
@@ -142,13 +130,18 @@ class TokenFile:
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         b = self.reader.get_batch(k)
-        return b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+        return b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
 
     def sequence(self, i: int) -> np.ndarray:
         ids, _ = self.batch(i // BATCH_ROWS)
         at = i % BATCH_ROWS * self.length
         return ids[at : at + self.length]
 
+    def mask(self, i: int) -> np.ndarray:
+        _, mask = self.batch(i // BATCH_ROWS)
+        at = i % BATCH_ROWS * self.length
+        return mask[at : at + self.length]
+
     def ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the packed stream."""
         step, parts = BATCH_ROWS * self.length, []
