@@ -1,14 +1,16 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and at full stops, semicolons, colons, question or exclamation marks before white space. A
-sentence's normal form is its ASCII letters and digits in lower case with one space between runs. Known normal
-forms (``SENTENCES``) map to sentence identifiers; ``PATTERNS`` name sentences with free parts. A document's
+A text loses the comment signs and bullets at its lines' beginnings and is cut into sentences at full stops, semicolons, colons,
+question or exclamation marks before white space, and at blank lines. Its normal form is ASCII letters and digits in
+lower case with one space between runs; line ends stay as marks. A known sentence (``SENTENCES``) begins and
+ends at a cut or a line end and may go over any number of lines. Known ones map to sentence identifiers; ``PATTERNS`` name sentences
+with free parts, on one line. A document's
 identifiers, in order, are matched against ``RULES``: an identifier sequence in a row stands for a licence.
 Rules apply in their order, so longer sequences come first, and what a rule matched is taken away. Copyright and
 reservation notices are read past when sequences are matched. Identifiers that no rule took are left over.
 
-Texts without any of the rules' anchor words can't hold a known sentence and aren't cut. Everything is done
-within a row, nothing is shuffled. Null and empty texts have no sentences.
+Every known sentence has an anchor within one of its words, so texts without any can't hold one and aren't cut. Everything is
+done within a row, nothing is shuffled. Null and empty texts have no sentences. Upper case means A-Z.
 """
 
 from __future__ import annotations
@@ -44,8 +46,33 @@ SENTENCES = {
     "GPL-MERCH": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "GPL-SEE": ["see the gnu general public license for more details"],
     "LGPL-SHORT": ["licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2 1"],
-    "MPL2-SUBJECT": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
+    "MPL2-SUBJECT": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
     "MPL2-OBTAIN": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
+    "BSD-NAME": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BSD-ASIS": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "BSD-LIABLE": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"],
+    "BSD-CAUSED": ["or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+    "LGPL-MAY": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "LGPL-OR21": ["either version 2 1 of the license or at your option any later version"],
+    "LGPL-LIBRARY": ["this library is free software"],
+    "LGPL-HOPE": ["this library is distributed in the hope that it will be useful but without any warranty"],
+    "LGPL-SEE": ["see the gnu lesser general public license for more details"],
+    "AGPL-MAY": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "AGPL-SEE": ["see the gnu affero general public license for more details"],
+    "AGPL-SHORT3": ["licensed under the gnu affero general public license version 3"],
+    "EPL2-MADE": ["this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at http www eclipse org legal epl 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "ZLIB-ASIS": ["this software is provided as is without any express or implied warranty"],
+    "ZLIB-LIABLE": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "ZLIB-GRANT": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "ZLIB-ORIGIN": ["the origin of this software must not be misrepresented"],
+    "ZLIB-ALTERED": ["altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
+    "ZLIB-NOTICE": ["this notice may not be removed or altered from any source distribution"],
+    "BOOST-SHORT": ["distributed under the boost software license version 1 0"],
+    "BOOST-GRANT": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "ISC-ASIS": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "ISC-LIABLE": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "ZERO-GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "UNLICENSE-ANYONE": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
     "ISC-GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "UNLICENSE-FREE": ["this is free and unencumbered software released into the public domain"],
     "CC-BY-NC4": ["licensed under cc by nc 4 0"],
@@ -56,13 +83,23 @@ SENTENCES = {
     "CC0": ["licensed under cc0 1 0", "dedicated to the public domain under cc0 1 0"],
     "RESERVED": ["all rights reserved"],
 }
-# Normal forms with free parts.
-PATTERNS = {"COPYRIGHT": r"^copyright( c)?( \d{4})+( .*)?$"}
+# Normal forms with free parts, on one line.
+PATTERNS = {"COPYRIGHT": r"copyright(?: c)?(?: [0-9]{4})+(?: [a-z0-9 ]*)?"}
 #: Ordered rules: licence and identifier sequence.
 RULES = [
     ("Apache-2.0", ["APACHE2-SHORT", "APACHE2-MAYNOT", "APACHE2-OBTAIN", "APACHE2-ASIS", "APACHE2-SEE"]),
     ("MIT", ["MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "MIT-LIABLE"]),
+    ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAME", "BSD-ASIS", "BSD-LIABLE", "BSD-CAUSED"]),
+    ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAME"]),
+    ("BSD-2-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ASIS", "BSD-LIABLE", "BSD-CAUSED"]),
     ("BSD-2-or-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"]),
+    ("ISC", ["ISC-GRANT", "ISC-ASIS", "ISC-LIABLE"]),
+    ("0BSD", ["ZERO-GRANT", "ISC-ASIS", "ISC-LIABLE"]),
+    ("Zlib", ["ZLIB-ASIS", "ZLIB-LIABLE", "ZLIB-GRANT", "ZLIB-ORIGIN", "ZLIB-ALTERED", "ZLIB-NOTICE"]),
+    ("AGPL-3.0-or-later", ["GPL-FREE", "AGPL-MAY", "GPL-OR3", "GPL-HOPE", "GPL-MERCH", "AGPL-SEE"]),
+    ("LGPL-3.0-or-later", ["GPL-FREE", "LGPL-MAY", "GPL-OR3", "GPL-HOPE", "GPL-MERCH", "LGPL-SEE"]),
+    ("LGPL-2.1-or-later", ["LGPL-LIBRARY", "LGPL-MAY", "LGPL-OR21", "LGPL-HOPE", "GPL-MERCH", "LGPL-SEE"]),
+    ("Unlicense", ["UNLICENSE-FREE", "UNLICENSE-ANYONE"]),
     ("GPL-3.0-or-later", ["GPL-FREE", "GPL-MAY2", "GPL-OR3", "GPL-HOPE", "GPL-MERCH", "GPL-SEE"]),
     ("GPL-2.0-or-later", ["GPL-FREE", "GPL-MAY2", "GPL-OR2", "GPL-HOPE", "GPL-MERCH", "GPL-SEE"]),
     ("GPL-3.0-or-later", ["GPL-FREE", "GPL-MAY2", "GPL-OR3"]),
@@ -78,6 +115,10 @@ RULES = [
     ("MPL-2.0", ["MPL2-SUBJECT"]),
     ("ISC", ["ISC-GRANT"]),
     ("Unlicense", ["UNLICENSE-FREE"]),
+    ("EPL-2.0", ["EPL2-MADE"]),
+    ("BSL-1.0", ["BOOST-GRANT"]),
+    ("BSL-1.0", ["BOOST-SHORT"]),
+    ("AGPL-3.0", ["AGPL-SHORT3"]),
     ("CC-BY-NC-4.0", ["CC-BY-NC4"]),
     ("CC-BY-SA-4.0", ["CC-BY-SA4"]),
     ("CC-BY-ND-4.0", ["CC-BY-ND4"]),
@@ -87,33 +128,54 @@ RULES = [
 ]
 #: Notices that sequences are read past.
 NOTICES = ["COPYRIGHT", "RESERVED"]
-#: Every known sentence holds one of these words; they're looked for before a text is cut.
-ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "public domain", "rights reserved", "free software", "at your option", "in no event", "mpl was"]
-CUT = r"[.;:!?]+[ \t\r]+|[\r\n]+"
+#: Every known sentence has one of these within a word; they're looked for before a text is cut.
+ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "reserved", "unencumbered", "liable", "software", "general", "either", "domain", "mpl", "altered", "liability"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Marks of a cut and of a line end. They are doubled, so that two sentences side by side have one each.
+HARD, SOFT = "\x01\x01", "\n\n"
+#: What makes the normal form: (pattern, replacement) in turn, of a text in lower case with a line end behind it. ``(1)`` is the first group.
+STEPS = [
+    ("\x01", " "),
+    ("\r\n?", "\n"),
+    (r"(^|\n)[ \t]*(?:(?://+|/\*+|\*+/|[*#;%!>]+|-+|\.\.)[ \t]*)+", "(1)"),
+    (r"[.;:!?]+[ \t]+|[.;:!?]+\n|\n[ \t]*\n", "\x01"),
+    (r"[^a-z0-9\n\x01]+", " "),
+    (r"[ \n]*\x01[ \n\x01]*", HARD),
+    (r" *\n[ \n]*", SOFT),
+]
 
 
 def _anchored() -> bool:
     return all(any(a in s for a in ANCHORS) for forms in SENTENCES.values() for s in forms)
 
 
-def normal_form(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", F.lit(" ")))
+def sentence_pattern() -> str:
+    """A known sentence between two marks, the longest first."""
+    forms = sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True)
+    return "[\\n\\x01](" + "|".join([*(s.replace(" ", "(?: |\\n\\n)") for s in forms), *PATTERNS.values()]) + ")[\\n\\x01]"
+
+
+def _steps(text: Column) -> Column:
+    for pattern, new in STEPS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(new.replace("(1)", "$1")))
+    return text
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text; others ignored) to doc_id, n_sentences (known ones), sentence_ids (in order, joined by
-    ','), licences (in the order of the rules, joined by ';', each once), left_over (identifiers that no rule took, by ',')."""
-    low = F.lower(F.coalesce("text", F.lit("")))
+    ','), licences (in the order of the rules, joined by ';', each once), left_over (identifiers that no rule took, by ','). Repeated rows
+    repeat; an empty table gives no rows."""
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     hopeful = reduce(Column.__or__, (low.contains(a) for a in ANCHORS))
-    sentences = F.when(hopeful, F.split(F.coalesce("text", F.lit("")), CUT)).otherwise(F.array().cast("array<string>"))
+    marked = F.concat(F.lit(HARD), F.ltrim(_steps(F.concat(low, F.lit("\n")))), F.lit(HARD))
+    found = F.when(hopeful, F.regexp_extract_all(marked, F.lit(sentence_pattern()), F.lit(1))).otherwise(F.array().cast("array<string>"))
     known = F.create_map(*(F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)))
-    at = docs.select("doc_id", F.transform(sentences, normal_form).alias("_s"))
 
     def identify(s: Column) -> Column:
-        by_pattern = reduce(lambda c, p: c.when(s.rlike(p[1]), F.lit(p[0])), PATTERNS.items(), F)
-        return F.coalesce(F.element_at(known, s), by_pattern)
+        by_pattern = reduce(lambda c, p: c.when(s.rlike(f"^{p[1]}$"), F.lit(p[0])), PATTERNS.items(), F)
+        return F.coalesce(F.element_at(known, F.replace(s, F.lit(SOFT), F.lit(" "))), by_pattern)
 
-    at = at.select("doc_id", F.filter(F.transform("_s", identify), lambda x: x.isNotNull()).alias("_ids"))
+    at = docs.select("doc_id", F.transform(found, identify).alias("_ids"))
     plain = F.filter("_ids", lambda x: ~x.isin(NOTICES))
     # each identifier between commas of its own, so that sequences can be taken away
     state = F.when(F.size(plain) > 0, F.concat(F.lit(","), F.array_join(plain, ",,"), F.lit(","))).otherwise(F.lit(""))
@@ -135,8 +197,11 @@ def scan_sql(documents: str = "documents") -> str:
 
     keys = ", ".join(q(s) for forms in SENTENCES.values() for s in forms)
     values = ", ".join(q(i) for i, forms in SENTENCES.items() for _ in forms)
-    hopeful = " or ".join(f"contains(lower(coalesce(text, '')), {q(a)})" for a in ANCHORS)
-    patterns = " ".join(f"when regexp_matches(s, {q(p)}) then {q(i)}" for i, p in PATTERNS.items())
+    text = f"concat(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10))"
+    for pattern, new in STEPS:
+        new = q(new.replace("(1)", "\\1")) if new.isprintable() else " || ".join(f"chr({ord(c)})" for c in new)
+        text = f"regexp_replace({text}, {q(pattern.replace(chr(1), '[\\x01]').replace(chr(13), '\\r').replace(chr(10), '\\n'))}, {new}, 'g')"
+    patterns = " ".join(f"when regexp_full_match(s, {q(p)}) then {q(i)}" for i, p in PATTERNS.items())
     steps, name = [], "s0"
     for n, (licence, sequence) in enumerate(RULES, 1):
         rule = q("".join(f",{x}," for x in sequence))
@@ -145,10 +210,10 @@ def scan_sql(documents: str = "documents") -> str:
     notices = ", ".join(q(x) for x in NOTICES)
     return f"""
         with known as (select unnest([{keys}]) k, unnest([{values}]) v),
-        cut as (select doc_id, unnest(case when {hopeful} then regexp_split_to_array(coalesce(text, ''), '[.;:!?]+[ \\t\\r]+|[\\r\\n]+') else [] end) s, generate_subscripts(case when {hopeful} then regexp_split_to_array(coalesce(text, ''), '[.;:!?]+[ \\t\\r]+|[\\r\\n]+') else [] end, 1) n from {documents}),
-        norm as (select doc_id, n, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) s from cut),
-        named as (select doc_id, n, coalesce(v, case {patterns} end) id from norm left join known on s = k),
-        ids as (select doc_id, list(id order by n) ids from named where id is not null group by doc_id),
+        cut as (select doc_id, regexp_extract_all(chr(1) || chr(1) || ltrim({text}) || chr(1) || chr(1), {q(sentence_pattern())}, 1) x from {documents}),
+        each as (select doc_id, replace(unnest(x), chr(10) || chr(10), ' ') s, generate_subscripts(x, 1) n from cut),
+        named as (select doc_id, n, coalesce(v, case {patterns} end) id from each left join known on s = k),
+        ids as (select doc_id, list(id order by n) ids from named group by doc_id),
         s0 as (select doc_id, coalesce(ids, []) ids, list_filter(coalesce(ids, []), lambda x: x not in ({notices})) plain,
             case when len(plain) > 0 then concat(',', array_to_string(plain, ',,'), ',') else '' end rest, []::varchar[] found from {documents} left join ids using (doc_id)),
         {', '.join(steps)}
