@@ -2,11 +2,14 @@
 
 Pass one scatters records by seeded hashes: highest-random-weight hashing of doc_id picks the shard (law ``key``:
 a further shard takes records only into itself), a second hash picks one of the shard's buckets, which are as many
-as keep a bucket at about ``bucket_bytes``. Pass two orders each bucket by key, permutes it with a seeded
-Fisher-Yates shuffle (Spark's ``shuffle``) and writes it. A record's slot is its bucket's base in the shard plus its
-place in the bucket.
+as keep a bucket at about ``bucket_bytes``. The scattered records lie in Spark's shuffle files, a partition a bucket. Pass two orders
+each bucket by key, permutes it with a seeded Fisher-Yates shuffle (Spark's ``shuffle``, whose draws follow from the seed
+and the partition, that is the bucket, alone) and writes it. A record's slot is its bucket's base in the shard plus its
+place in the bucket. So the same table, seed and bucket size give the same slots however the input is partitioned, and when a
+task runs again.
 
-Null text counts as 0 bytes. Rows with equal or null doc_id share a shard but are dealt to its buckets by text; every
+Null text counts as 0 bytes. Rows with equal or null doc_id share a shard but are dealt to its buckets by text; if they are more
+than a bucket holds, rows equal in all columns are counted first and dealt by their number. Every
 row keeps a slot of its own. Extra columns travel in the struct ``record`` whatever their names are (maps can't be
 ordered and aren't supported). An empty table gives no rows.
 """
@@ -17,8 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkloom.session import materialize
+
 SHARDS = 24
-BUCKET_BYTES = 8 << 20
+#: Text of a bucket, which one task sorts in memory; it needs a few times as much.
+BUCKET_BYTES = 32 << 20
+#: Copies of a row that one task makes.
+COPIES = 100_000
 
 
 def record_size(text: Column) -> Column:
@@ -30,16 +38,32 @@ def shard_of(doc_id: Column, shards: int, seed: int) -> Column:
     return F.array_max(F.array(*(F.struct(F.xxhash64(doc_id, F.lit(seed), F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in range(shards))))["s"]
 
 
+def _numbered(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows`` (k, t, r, copy) with the number of its copy for each row whose k is crowded. Equal rows are counted before they are
+    shuffled, and tasks make their copies ``COPIES`` at a time."""
+    same = F.col("k").eqNullSafe(F.col("_id"))
+    counts = rows.join(crowded, same, "left_semi").groupBy("k", "t", "r").agg(F.count("*").alias("n"))
+    begun = counts.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("k", "t", "first")
+    copies = F.explode(F.sequence("first", F.least(F.col("first") + COPIES, "n") - 1))
+    return rows.join(crowded, same, "left_anti").union(begun.select("k", "t", "r", copies.alias("copy")))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write ``docs`` (doc_id, text and more) below ``path`` as Parquet: shard=N folders of rows (bucket, place, record)."""
-    total = docs.agg(F.sum(record_size(F.col("text")))).first()[0] or 0
+    size = record_size(F.col("text"))
+    total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    record = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    dealt = docs.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(buckets)).cast("int").alias("bucket"), F.struct(F.col("doc_id").alias("k"), record.alias("r")).alias("item"))
-    full = dealt.repartition(max(shards, shards * buckets), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    mixed = full.select("shard", "bucket", F.shuffle("items", seed).alias("items"))
-    rows = mixed.select("shard", "bucket", F.posexplode("items").alias("place", "item")).select("shard", "bucket", "place", F.col("item.r").alias("record"))
-    rows.write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.lit(0).cast("long").alias("copy"))
+    # ids that alone overflow a bucket: as many as there are buckets at most
+    crowded = materialize(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.sum(size).alias("_n")).where(F.col("_n") > bucket_bytes).select("_id"), "shards-crowded")
+    if not crowded.isEmpty():
+        rows = _numbered(rows, crowded)
+    bucket = F.pmod(F.xxhash64("k", "t", "copy", F.lit(seed + 1)), F.lit(buckets))
+    dealt = rows.select((shard_of(F.col("k"), shards, seed) * F.lit(buckets) + bucket).cast("int").alias("g"), F.struct("k", "r").alias("item"))
+    full = dealt.repartitionById(shards * buckets, "g").groupBy("g").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    mixed = full.select("g", F.posexplode(F.shuffle("items", seed)).alias("place", "item"))
+    shard, bucket = F.floor(F.col("g") / buckets).cast("int"), (F.col("g") % buckets).cast("int")
+    mixed.select(shard.alias("shard"), bucket.alias("bucket"), "place", F.col("item.r").alias("record")).write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, record: StructType) -> DataFrame:
