@@ -8,7 +8,9 @@ largest marginal enter a logistic function that is fitted to the labels. Tokens
 more are offending; neighbours form one span.
 
 Fitting takes at most ``MAX_FIT_DOCS`` labelled rows (least seeded hashes of doc_id), and ``MAX_FIT_BYTES`` of
-their text in whole documents. Scoring covers every document whole.
+their text in whole documents. The field's own gradient takes at most ``MAX_WINDOWS`` windows of their tokens of each kind (with a toxic
+token, clean with a feature of one, other; seeded choice); token labels and the document score come from all their tokens.
+Scoring covers every document whole.
 """
 
 from __future__ import annotations
