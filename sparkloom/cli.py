@@ -1,9 +1,9 @@
 """Command line: log runs and word statistics over files.
 
 python -m sparkloom.cli logs --input DIR [--batch-size 50000] [--query all|q1|q2|q3] [--output DIR]
-python -m sparkloom.cli words --input DIR --output DIR [--skip-patterns FILE] [--case-sensitive] [--top 50] [--distance 1]
+python -m sparkloom.cli words --input DIR --output DIR [--skip-patterns FILE] [--case-sensitive] [--top 50] [--top-words FILE] [--distance 1]
 python -m sparkloom.cli terms --input DIR --output DIR [--stop-words FILE] [--top 100]
-python -m sparkloom.cli store --input FILE --output DIR
+python -m sparkloom.cli store --input FILE --output DIR [--courses FILE]
 """
 
 from __future__ import annotations
@@ -21,15 +21,14 @@ from sparkloom.sources import text
 
 def logs(spark: SparkSession, a: argparse.Namespace) -> None:
     began = time.time()
-    rows = text.read_lines(spark, a.input).withColumn("line_id", F.struct("file_path", F.monotonically_increasing_id().alias("n")))
-    lines = text.with_batches(rows.select(F.col("value").alias("line"), F.col("line_id.n").alias("n")), "n", a.batch_size).cache()
-    run = sinks.log_run(lines, a.query, a.batch_size, int((time.time() - began) * 1000))
+    rows = text.read_lines(spark, a.input).withColumn("at", F.monotonically_increasing_id())
+    lines = text.with_batches(rows.select(F.col("value").alias("line"), *text.LINE_ORDER), *text.LINE_ORDER, size=a.batch_size)
+    run = sinks.log_run(lines, a.query, a.batch_size).timed(began)
     if a.output:
         run.write(a.output)
     for title, frame in sinks.report(run).items():
         print(f"\n== {title}")
         frame.show(40, truncate=False)
-    lines.unpersist()
 
 
 def word_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -39,6 +38,7 @@ def word_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
         counts = words.without(counts, text.read_word_set(spark, a.skip_patterns), "word")
     top = words.top_words(counts, a.top).cache()
     sinks.write_tsv(top, f"{a.output}/top", one_file=True)
+    top = text.read_top_words(spark, a.top_words) if a.top_words else top
     pairs = cooccur.pairs(lines, top, a.distance)
     label = F.concat(F.lit("("), "center", F.lit(","), "neighbor", F.lit(")"))
     sinks.write_tsv(pairs.select(label, "cnt"), f"{a.output}/pairs")
@@ -55,14 +55,18 @@ def term_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def store(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Final students and grades of a command log."""
+    """Final students and grades of a command log, and the answers of its reads; courses are lines id,name,department."""
     log = text.read_commands(spark, a.input)
+    wrong = fragments.argument_errors(log)
     arg = lambda i: F.get("args", F.lit(i))
     is_student = F.col("command") == "INSERT_STUDENT"
-    commands = log.select("seq", "command", arg(0).alias("student_id"), F.when(~is_student, arg(1)).alias("course_id"), arg(2).try_cast("int").alias("score"), F.when(is_student, arg(1)).alias("name"), F.when(is_student, arg(3)).alias("email"))
+    good = log.join(wrong, "seq", "left_anti")
+    commands = good.select("seq", "command", arg(0).alias("student_id"), F.when(~is_student, arg(1)).alias("course_id"), arg(2).try_cast("int").alias("score"), F.when(is_student, arg(1)).alias("name"), F.when(is_student, arg(3)).alias("email"))
+    empty = spark.createDataFrame([], "course_id string, department string")
+    courses = spark.read.csv(a.courses, schema="course_id string, course_name string, department string") if a.courses else empty
     sinks.write_tsv(fragments.replay_students(commands), f"{a.output}/students")
     sinks.write_tsv(fragments.replay_grades(commands), f"{a.output}/grades")
-    sinks.write_tsv(fragments.profiles(commands).unionByName(fragments.unknown_commands(commands)).orderBy("seq"), f"{a.output}/answers")
+    sinks.write_tsv(fragments.command_answers(commands, courses).unionByName(wrong).orderBy("seq"), f"{a.output}/answers")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -70,9 +74,9 @@ def main(argv: list[str] | None = None) -> None:
     kinds = parser.add_subparsers(dest="kind", required=True)
     for name, work, options in (
         ("logs", logs, {"--batch-size": {"type": int, "default": 50_000}, "--query": {"default": "all"}, "--output": {}}),
-        ("words", word_statistics, {"--output": {"required": True}, "--skip-patterns": {}, "--case-sensitive": {"action": "store_true"}, "--top": {"type": int, "default": 50}, "--distance": {"type": int, "default": 1}}),
+        ("words", word_statistics, {"--output": {"required": True}, "--skip-patterns": {}, "--top-words": {}, "--case-sensitive": {"action": "store_true"}, "--top": {"type": int, "default": 50}, "--distance": {"type": int, "default": 1}}),
         ("terms", term_statistics, {"--output": {"required": True}, "--stop-words": {}, "--top": {"type": int, "default": 100}}),
-        ("store", store, {"--output": {"required": True}}),
+        ("store", store, {"--output": {"required": True}, "--courses": {}}),
     ):
         p = kinds.add_parser(name)
         p.add_argument("--input", required=True)

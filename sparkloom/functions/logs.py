@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The line formats.
 LENIENT = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[(.*?)\]\s+"(.*?)"\s+(\d{3})\s+(\S+)\s*$'
-STRICT = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\S+)$'
+STRICT = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\S+)\s*$'
 _MARK = "\x01"
 _INTEGER = r"^[+-]?\d+$"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,57 @@ def replay_grades(commands: DataFrame, before: int | None = None) -> DataFrame:
     return live.groupBy("student_id", "course_id").agg(F.max_by("score", "seq").alias("score"))
 
 
+def grade_changes(commands: DataFrame) -> DataFrame:
+    """student_id, course_id, seq, score, change: each command that changes a grade. ``change`` is 1 for a grade that comes, -1 for
+    one that goes, 0 for another score; ``score`` is what is added to the sum of scores, a null score counting as 0.
+
+    Deletes part a grade's commands into lives. In each the first insert makes the grade, and later updates set it.
+    """
+    ops = commands.where(F.col("command").isin("INSERT_GRADE", "UPDATE_GRADE", "DELETE_STUDENT_COURSE"))
+    ops = ops.select("student_id", "course_id", "seq", "command", F.coalesce("score", F.lit(0)).cast("long").alias("score")).join(replay_students(commands).select("student_id", "since"), "student_id").where("seq > since")
+    key = Window.partitionBy("student_id", "course_id").orderBy("seq")
+    gone = F.col("command") == "DELETE_STUDENT_COURSE"
+    at = ops.withColumn("life", F.sum(gone.cast("int")).over(key.rowsBetween(Window.unboundedPreceding, -1)))
+    life = Window.partitionBy("student_id", "course_id", F.coalesce("life", F.lit(0)))
+    at = at.withColumn("made", F.min(F.when(F.col("command") == "INSERT_GRADE", F.col("seq"))).over(life))
+    live = at.where("seq = made or (command != 'INSERT_GRADE' and seq > made)")
+    before = F.lag("score", 1, 0).over(life.orderBy("seq"))
+    change = F.when(F.col("command") == "INSERT_GRADE", 1).when(gone, -1).otherwise(0)
+    return live.select("student_id", "course_id", "seq", (F.when(gone, 0).otherwise(F.col("score")) - before).alias("score"), change.alias("change"))
+
+
+def _as_of(changes: DataFrame, reads: DataFrame, key: str, *sums: str) -> DataFrame:
+    """For each read (seq) and value of ``key`` the sums of all changes before it, where there are any. The values of the key
+    are few: departments, or numbers of courses."""
+    values = changes.agg(F.collect_set(key).alias("v")).scalar()
+    asked = reads.select("seq", F.explode(values).alias(key), F.lit(True).alias("read"), *(F.lit(0).cast("long").alias(s) for s in sums))
+    both = changes.select("seq", key, F.lit(False).alias("read"), *(F.col(s).cast("long").alias(s) for s in sums)).unionByName(asked)
+    past = Window.partitionBy(key).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumns({s: F.coalesce(F.sum(s).over(past), F.lit(0)) for s in sums}).where("read").drop("read")
+
+
+def score_answers(commands: DataFrame, courses: DataFrame) -> DataFrame:
+    """seq and answer of each READ_SCORE: the departments' averages of the grades at its place in the log, or NULL."""
+    reads = commands.where("command = 'READ_SCORE'").select("seq")
+    changes = grade_changes(commands).join(courses.select("course_id", "department"), "course_id")
+    now = _as_of(changes, reads, "department", "score", "change").where("change > 0").withColumn("average", F.col("score") / F.col("change"))
+    return reads.join(scores_text(now, "seq"), "seq", "left").select("seq", F.coalesce("result", F.lit("NULL")).alias("result"))
+
+
+def top_answers(commands: DataFrame) -> DataFrame:
+    """seq and answer of each READ_ALL: the students with most courses at its place in the log, or NULL."""
+    reads = commands.where("command = 'READ_ALL'").select("seq")
+    student = Window.partitionBy("student_id").orderBy("seq")
+    moves = grade_changes(commands).where("change != 0").groupBy("student_id", "seq").agg(F.sum("change").alias("change"))
+    held = moves.withColumn("courses", F.sum("change").over(student)).withColumn("until", F.lead("seq").over(student)).select("student_id", "seq", "courses", "until")
+    came = held.select("seq", "courses", F.lit(1).alias("n"))
+    left = held.where("until is not null").select(F.col("until").alias("seq"), "courses", F.lit(-1).alias("n"))
+    most = _as_of(came.union(left).where("courses > 0"), reads, "courses", "n").where("n > 0").groupBy("seq").agg(F.max("courses").alias("courses"))
+    there = (F.col("h.courses") == F.col("m.courses")) & (F.col("h.seq") < F.col("m.seq")) & (F.col("h.until").isNull() | (F.col("h.until") >= F.col("m.seq")))
+    who = most.alias("m").join(held.alias("h"), there).select("m.seq", "h.student_id").join(replay_students(commands).select("student_id", "name"), "student_id")
+    return reads.join(students_text(who, "seq"), "seq", "left").select("seq", F.coalesce("result", F.lit("NULL")).alias("result"))
+
+
 def profiles(commands: DataFrame) -> DataFrame:
     """seq and answer of each READ_PROFILE: name,email of the student if inserted before, else NULL."""
     reads = commands.where("command = 'READ_PROFILE'").select("seq", "student_id")
@@ -91,19 +144,45 @@ def profiles(commands: DataFrame) -> DataFrame:
     return both.select("seq", F.when(there, F.concat_ws(",", "name", "email")).otherwise(F.lit("NULL")).alias("result"))
 
 
+#: Arguments of each command; the place (from 1) of the one that is an integer, if any.
+ARGUMENTS = {"INSERT_STUDENT": (4, 3), "INSERT_GRADE": (3, 3), "UPDATE_GRADE": (3, 3), "DELETE_STUDENT_COURSE": (2, 0), "READ_PROFILE": (1, 0), "READ_SCORE": (0, 0), "READ_ALL": (0, 0)}
+
+
 def unknown_commands(commands: DataFrame) -> DataFrame:
     """seq and error text of commands that the store doesn't have."""
-    known = ["INSERT_STUDENT", "INSERT_GRADE", "UPDATE_GRADE", "DELETE_STUDENT_COURSE", "READ_PROFILE", "READ_SCORE", "READ_ALL"]
-    return commands.where(~F.col("command").isin(known)).select("seq", F.concat(F.lit("ERROR: Unknown command "), "command").alias("result"))
+    return commands.where(~F.col("command").isin(*ARGUMENTS)).select("seq", F.concat(F.lit("ERROR: Unknown command "), "command").alias("result"))
+
+
+def argument_errors(log: DataFrame) -> DataFrame:
+    """seq and error text of the commands of a log (seq, command, args) that lack an argument or have one that is no integer. They
+    do nothing else. Arguments are read in their order; empty ones at the end don't count."""
+    present = F.expr("size(regexp_extract_all(regexp_replace(array_join(args, ','), ',+$', ''), ',', 0)) + if(regexp_replace(array_join(args, ','), ',+$', '') = '', 0, 1)")
+
+    def error(total: int, number: int) -> Column:
+        text = F.get("args", F.lit(max(number, 1) - 1))
+        wrong = F.when(text.rlike(r"^[+-]?\d+$") & text.try_cast("int").isNotNull(), None).otherwise(F.concat(F.lit('For input string: "'), text, F.lit('"')))
+        missing = F.when(present < total, F.concat(F.lit("Index "), (present + 1).cast("string"), F.lit(" out of bounds for length "), (present + 1).cast("string")))
+        return F.when((present >= number) & wrong.isNotNull(), wrong).otherwise(missing) if number else missing
+
+    found = F.lit(None).cast("string")
+    for command, (total, number) in ARGUMENTS.items():
+        found = F.when(F.col("command") == command, error(total, number)).otherwise(found)
+    return log.withColumn("_e", found).where("_e is not null").select("seq", F.concat(F.lit("ERROR: "), "_e").alias("result"))
+
+
+def command_answers(commands: DataFrame, courses: DataFrame) -> DataFrame:
+    """seq and answer of every command that has one, as of its place in the log."""
+    parts = [profiles(commands), score_answers(commands, courses), top_answers(commands), unknown_commands(commands)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def scores_text(averages: DataFrame) -> DataFrame:
-    """All departments in one row: dept:avg;dept:avg with one digit, by department."""
+def scores_text(averages: DataFrame, *keys: str) -> DataFrame:
+    """All departments (of each key) in one row: dept:avg;dept:avg with one digit, by department."""
     cells = F.array_sort(F.collect_list(F.struct("department", F.format_string("%s:%.1f", "department", "average").alias("t"))))
-    return averages.agg(F.array_join(cells["t"], ";").alias("result"))
+    return averages.groupBy(*keys).agg(F.array_join(cells["t"], ";").alias("result"))
 
 
-def students_text(most: DataFrame) -> DataFrame:
-    """id,name;id,name by id."""
+def students_text(most: DataFrame, *keys: str) -> DataFrame:
+    """id,name;id,name by id (of each key)."""
     cells = F.array_sort(F.collect_list(F.struct("student_id", F.concat_ws(",", "student_id", "name").alias("t"))))
-    return most.agg(F.array_join(cells["t"], ";").alias("result"))
+    return most.groupBy(*keys).agg(F.array_join(cells["t"], ";").alias("result"))

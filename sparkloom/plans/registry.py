@@ -397,3 +397,26 @@ def replay_scores(spark: SparkSession, d: str) -> DataFrame:
 def replay_top(spark: SparkSession, d: str) -> DataFrame:
     commands = adapters.commands(spark, d)
     return fragments.most_courses(fragments.replay_grades(commands), fragments.replay_students(commands))
+
+
+# every read with its own state: the log before it
+_ANSWERS = f"""c as ({adapters.COMMANDS_WITH_READS_SQL}), course as ({adapters.COURSE_SQL}),
+    known as (select student_id, min(seq) as since, min_by(name, seq) as name, min_by(email, seq) as email from c where command = 'INSERT_STUDENT' group by student_id),
+    reads as (select seq as pos, command as what from c where command in ('READ_SCORE', 'READ_ALL')),
+    ops as (select pos, what, c.student_id, course_id, seq, command, score from reads join c on seq < pos join known using (student_id) where command in ('INSERT_GRADE', 'UPDATE_GRADE', 'DELETE_STUDENT_COURSE') and seq > since),
+    gone as (select *, coalesce(max(seq) filter (command = 'DELETE_STUDENT_COURSE') over (partition by pos, student_id, course_id), 0) as gone from ops),
+    made as (select *, min(seq) filter (command = 'INSERT_GRADE' and seq > gone) over (partition by pos, student_id, course_id) as made from gone),
+    now as (select pos, what, student_id, course_id, max_by(score, seq) as score from made where seq = made or (command = 'UPDATE_GRADE' and seq > made) group by all),
+    averages as (select pos, department, sum(score) / count(*) as average from now join course using (course_id) where what = 'READ_SCORE' group by all),
+    held as (select pos, student_id, count(*) as n from now where what = 'READ_ALL' group by all),
+    said as (select pos, string_agg(concat(department, ':', printf('%.1f', floor(average * 10 + 0.5) / 10)), ';' order by department) as result from averages group by pos
+        union all select pos, string_agg(concat(student_id, ',', name), ';' order by student_id) from (select * from held qualify n = max(n) over (partition by pos)) join known using (student_id) group by pos)"""
+
+
+@query(
+    f"""with {_ANSWERS} select pos as seq, coalesce(result, 'NULL') as result from reads left join said using (pos)
+    union all select seq, concat('ERROR: Unknown command ', command) from c where command = 'NO_SUCH'
+    union all select seq, case when since < seq then concat(known.name, ',', known.email) else 'NULL' end from c left join known using (student_id) where command = 'READ_PROFILE'"""
+)
+def command_answers(spark: SparkSession, d: str) -> DataFrame:
+    return fragments.command_answers(adapters.commands_with_reads(spark, d), adapters.courses(spark, d))

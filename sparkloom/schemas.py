@@ -17,6 +17,7 @@ def _struct(columns: str) -> T.StructType:
     return schema
 
 
+# Columns of the stored tables.
 STUDENT = _struct("student_id string, name string, age int, email string")
 GRADE = _struct("student_id string, course_id bigint, score int")
 COURSE = _struct("course_id bigint, course_name string, department string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime
@@ -26,6 +27,12 @@ class LogRun:
     batches: DataFrame
     results: DataFrame
 
+    def timed(self, began: float) -> LogRun:
+        """The run with its results and batches worked out, and the time since ``began`` (as of time.time()) as its run time."""
+        results, batches = (f.persist() for f in (self.results, self.batches))
+        results.count(), batches.count()
+        return LogRun(self.runs.withColumn("runtime_ms", F.lit(int((time.time() - began) * 1000)).cast("bigint")), batches, results)
+
     def write(self, path: str) -> None:
         """Append the run's rows below ``path``; the run row is last, so a run that is listed is whole."""
         self.results.write.mode("append").parquet(f"{path}/etl_results")

@@ -23,7 +23,7 @@ case when event_id % 101 = 0 then 'corrupt record'
 def weblog(spark: SparkSession, sf_dir: str, batch_size: int = BATCH_SIZE) -> DataFrame:
     """batch_id, event_id, line: an access-log line for each event."""
     line = F.expr(_LINE.format(text="string", stamp="date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')"))
-    return with_batches(table(spark, sf_dir, "events").select("event_id", line.alias("line")), "event_id", batch_size)
+    return with_batches(table(spark, sf_dir, "events").select("event_id", line.alias("line")), "event_id", size=batch_size)
 
 
 WEBLOG_SQL = f"""select cast((row_number() over (order by event_id) - 1) // {BATCH_SIZE} as int) + 1 as batch_id, event_id,
@@ -80,3 +80,14 @@ COMMANDS_SQL = """select event_id + 1 as seq,
     case event_type when 'signup' then 'INSERT_STUDENT' when 'purchase' then 'INSERT_GRADE' when 'view' then 'UPDATE_GRADE' when 'error' then 'DELETE_STUDENT_COURSE' else 'READ_PROFILE' end as command,
     concat('U', cast(user_id as varchar)) as student_id, event_id % 5 as course_id, cast(floor(value) as int) as score,
     concat('name', cast(user_id as varchar), '-', cast(event_id as varchar)) as name, concat('u', cast(user_id as varchar), '@example.org') as email from events"""
+
+
+_READS = "case when event_id % 60 = 7 then 'READ_SCORE' when event_id % 60 = 37 then 'READ_ALL' when event_id % 97 = 5 then 'NO_SUCH' else command end"
+
+
+def commands_with_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`commands`, some of them reads of all departments or students, or none that exists."""
+    return commands(spark, sf_dir).withColumn("event_id", F.col("seq") - 1).withColumn("command", F.expr(_READS)).drop("event_id")
+
+
+COMMANDS_WITH_READS_SQL = f"select seq, {_READS.replace('event_id', '(seq - 1)')} as command, student_id, course_id, score, name, email from ({COMMANDS_SQL})"

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.schemas import DOCUMENT_FREQUENCY
+from sparkloom.session import materialize
 
-#: Rows that one task orders when ordinals are given out.
-ROWS_PER_BUCKET = 500_000
+
+#: A line's place: its file's path, its block's, and its own in that.
+LINE_ORDER = ["file_path", "file_block_start", "at"]
 
 
 def read_lines(spark: SparkSession, path: str, recursive: bool = True, split_bytes: int | None = None) -> DataFrame:
-    """Lines of a file or a tree of files: value, file_name, file_path. Names that begin with _ or . are skipped."""
+    """Lines of a file or a tree of files: value, file_name, file_path, file_block_start. Names that begin with _ or . are skipped."""
     if split_bytes:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(path).select("value", "_metadata.file_name", "_metadata.file_path")
+    return reader.text(path).select("value", "_metadata.file_name", "_metadata.file_path", "_metadata.file_block_start")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +40,10 @@ def read_top_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    """term and df of a tab-separated file; lines with fewer than two tokens are skipped."""
+    """term and df of a tab-separated file; lines with fewer than two tokens are skipped, of a term's lines the last one counts."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p")).where("size(p) >= 2")
-    return rows.select(F.col("p")[0].alias("term"), F.col("p")[1].cast("bigint").alias("df")).to(DOCUMENT_FREQUENCY)
+    rows = spark.read.text(path).select(parts.alias("p"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).where("size(p) >= 2")
+    return rows.groupBy(F.col("p")[0].alias("term")).agg(F.max_by(F.col("p")[1].cast("bigint"), "at").alias("df")).to(DOCUMENT_FREQUENCY)
 
 
 def read_count_lines(lines: DataFrame) -> DataFrame:
@@ -52,38 +54,32 @@ def read_count_lines(lines: DataFrame) -> DataFrame:
 
 def read_commands(spark: SparkSession, path: str) -> DataFrame:
     """seq, command and args of a comma-separated command log; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")).where("line != ''")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).where("line != ''")
     parts = F.split("line", ",")
-    ordered = with_ordinal(lines, "at")
+    ordered = with_ordinal(lines, *LINE_ORDER)
     return ordered.select((F.col("ordinal") + 1).alias("seq"), F.trim(parts[0]).alias("command"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("args"))
 
 
-def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
-    """Rows with their place (from 0) in the order of ``key``, a unique number.
+def with_ordinal(rows: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
+    """Rows with their place (from 0) in the order of ``keys``, which together are unique.
 
-    Ranges of the key are numbered in tasks of their own, and each starts at the sum of the ranges before it.
+    Rows are dealt to partitions by ranges of the keys, sorted there, and written to the shared folder with their partition and their
+    place in it; each partition's base is the sum of the row counts of those before it, one row a partition.
     """
-    n, low, high = rows.agg(F.count("*"), F.min(key), F.max(key)).first()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
-    if buckets == 1:
-        bucket: Column = F.lit(0)
-    else:
-        shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(rows.agg(F.percentile_approx(key, shares, 10_000)).first()[0]))
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
-    dealt = rows.withColumn("_bucket", bucket)
-    # one row a bucket
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + F.col("_place")).drop("_bucket", "_place", "_base")
-
-
-def with_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with the number (from 1) of their batch: ``size`` rows each in the order of ``key``, the last may be short."""
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the low 33 bits of the id count a partition's rows
+    numbered = ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = materialize(numbered, "ordinals")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_place")).drop("_part", "_place", "_base")
+
+
+def with_batches(rows: DataFrame, *keys: str, size: int) -> DataFrame:
+    """Rows with the number (from 1) of their batch: ``size`` rows each in the order of ``keys``, the last may be short."""
     batch = (F.floor(F.col("ordinal") / size) + 1).cast("int")
-    return with_ordinal(rows, key).withColumn("batch_id", batch).drop("ordinal")
+    return with_ordinal(rows, *keys).withColumn("batch_id", batch).drop("ordinal")
 
 
 def batch_of_file(file_name: str = "file_name") -> Column:

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import time
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from sparkloom import sinks
 from sparkloom.functions.logs import STRICT, parse_logs
 from sparkloom.operators import traffic
-from sparkloom.sources.text import with_batches, with_ordinal
+from sparkloom.sources.text import LINE_ORDER, read_lines, with_batches, with_ordinal
 
 COLUMNS = ["host", "log_date", "log_hour", "method", "resource_path", "protocol", "status_code", "bytes", "ok"]
 
@@ -39,15 +42,34 @@ def test_edge_lines(spark):
 def test_strict_format_is_an_option(spark):
     line = 'h - - [01/Jul/1995:01:00:01 -0400] "GET /a"b HTTP/1.0" 500 x'
     assert parse(spark, line)[0][-1] and not parse(spark, line, pattern=STRICT)[0][-1]
+    assert parse(spark, 'h - - [01/Jul/1995:01:00:01 -0400] "GET /a HTTP/1.0" 500 3 \r', pattern=STRICT)[0][-1]
 
 
-def test_batches_have_a_fixed_size(spark, monkeypatch):
+def test_batches_have_a_fixed_size(spark):
     rows = spark.range(5000).selectExpr("id * 7 as k")
-    sizes = [r[1] for r in with_batches(rows, "k", 1500).groupBy("batch_id").count().orderBy("batch_id").collect()]
+    sizes = [r[1] for r in with_batches(rows, "k", size=1500).groupBy("batch_id").count().orderBy("batch_id").collect()]
     assert sizes == [1500, 1500, 1500, 500]
-    monkeypatch.setattr("sparkloom.sources.text.ROWS_PER_BUCKET", 300)
-    got = [tuple(r) for r in with_ordinal(rows, "k").orderBy("k").collect()]
-    assert got == [(7 * i, i) for i in range(5000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        placed = with_ordinal(rows.repartition(9), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in placed.orderBy("k").collect()] == [(7 * i, i) for i in range(5000)]
+    pairs = spark.range(300).selectExpr("id % 3 as a", "300 - id as b")
+    assert [r["ordinal"] for r in with_ordinal(pairs, "a", "b").orderBy("a", "b").collect()] == list(range(300))
+    assert with_ordinal(rows.where("k < 0"), "k").count() == 0
+
+
+def test_batches_follow_paths_and_lines(spark, tmp_path):
+    (tmp_path / "in" / "b").mkdir(parents=True)
+    (tmp_path / "in" / "a.log").write_text("".join(f"a{i}\n" for i in range(5)))
+    (tmp_path / "in" / "b" / "0.log").write_text("".join(f"b{i}\n" for i in range(2000)))
+    (tmp_path / "in" / "c.log").write_text("c0\n")
+    lines = read_lines(spark, str(tmp_path / "in"), split_bytes=1000)
+    placed = with_batches(lines.withColumn("at", F.monotonically_increasing_id()), *LINE_ORDER, size=4)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(2000)] + ["c0"]
+    assert {r["value"]: r["batch_id"] for r in placed.collect()} == {x: 1 + i // 4 for i, x in enumerate(names)}
 
 
 def _lines(spark):
@@ -64,9 +86,10 @@ def test_rollups_add_up(spark):
 
 
 def test_run_frames(spark, tmp_path):
-    run = sinks.log_run(_lines(spark), "all", 4)
+    run = sinks.log_run(_lines(spark), "all", 4).timed(time.time() - 5)
     run.write(str(tmp_path))
     row = spark.read.parquet(f"{tmp_path}/etl_runs").first()
+    assert row["runtime_ms"] > 5000
     assert (row["total_records"], row["total_batches"], row["malformed_count"], str(row["avg_batch_size"])) == (13, 3, 1, "4.33")
     assert spark.read.parquet(f"{tmp_path}/etl_results").count() == run.results.count()
     assert set(sinks.report(run)) >= {"run", "batches", "top resources, all batches"}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from math import floor
 
 from pyspark.sql import functions as F
 
@@ -30,10 +31,12 @@ def test_most_courses_keeps_ties(spark):
 
 def test_replay_equals_one_by_one(spark):
     rng = random.Random(3)
-    kinds = ["INSERT_STUDENT", "INSERT_GRADE", "UPDATE_GRADE", "DELETE_STUDENT_COURSE", "READ_PROFILE", "NOPE"]
+    kinds = ["INSERT_STUDENT", "INSERT_GRADE", "UPDATE_GRADE", "DELETE_STUDENT_COURSE", "READ_PROFILE", "NOPE", "READ_SCORE", "READ_ALL"]
     log = [(i, rng.choice(kinds), f"U{rng.randrange(6)}", rng.randrange(3), rng.randrange(100), f"n{i}", f"e{i}") for i in range(1, 600)]
     commands = spark.createDataFrame(log, "seq long, command string, student_id string, course_id long, score int, name string, email string")
-    students, grades, answers = {}, {}, {}
+    students, grades, answers, asked = {}, {}, {}, {}
+    department = {0: "x", 1: "y", 2: "x"}
+    courses = spark.createDataFrame(list(department.items()), "course_id long, department string")
     for seq, kind, s, c, score, name, email in log:
         if kind == "INSERT_STUDENT":
             students.setdefault(s, (name, email))
@@ -45,6 +48,26 @@ def test_replay_equals_one_by_one(spark):
             grades.pop((s, c), None)
         elif kind == "READ_PROFILE":
             answers[seq] = ",".join(students[s]) if s in students else "NULL"
+        elif kind == "READ_SCORE":
+            of = {d: [x or 0 for (_, k), x in grades.items() if department[k] == d] for d in "xy"}
+            asked[seq] = ";".join(f"{d}:{floor(10 * sum(v) / len(v) + 0.5) / 10:.1f}" for d, v in of.items() if v) or "NULL"
+        elif kind == "READ_ALL":
+            n = {i: sum(k[0] == i for k in grades) for i in students}
+            asked[seq] = ";".join(f"{i},{students[i][0]}" for i in sorted(n) if n[i] == max(n.values()) > 0) or "NULL"
     assert {(r[0], r[1]): r[2] for r in fragments.replay_grades(commands).collect()} == grades
     assert {r[0]: r[1] for r in fragments.profiles(commands).collect()} == answers
     assert fragments.unknown_commands(commands).first()["result"] == "ERROR: Unknown command NOPE"
+    said = {r[0]: r[1] for r in fragments.command_answers(commands, courses).collect()}
+    assert said == answers | asked | {r[0]: "ERROR: Unknown command NOPE" for r in log if r[1] == "NOPE"} and len(asked) > 50
+
+
+def test_bad_arguments(spark):
+    log = [
+        (1, "INSERT_STUDENT", ["S1", "Ann", "x", "a@x"]), (2, "INSERT_STUDENT", ["S1", "Ann", "3"]), (3, "INSERT_STUDENT", ["S1", "Ann", "x"]), (4, "INSERT_STUDENT", ["S1", "Ann", "20", "a@x"]),
+        (5, "READ_PROFILE", []), (6, "READ_PROFILE", [""]), (7, "INSERT_GRADE", ["S1", "C", "99999999999"]), (8, "DELETE_STUDENT_COURSE", ["S1"]), (9, "READ_ALL", []), (10, "NOPE", []), (11, "UPDATE_GRADE", ["S1", "", "-4"]),
+    ]
+    got = {r[0]: r[1] for r in fragments.argument_errors(spark.createDataFrame(log, "seq long, command string, args array<string>")).collect()}
+    assert got == {
+        1: 'ERROR: For input string: "x"', 2: "ERROR: Index 4 out of bounds for length 4", 3: 'ERROR: For input string: "x"',
+        5: "ERROR: Index 1 out of bounds for length 1", 6: "ERROR: Index 1 out of bounds for length 1", 7: 'ERROR: For input string: "99999999999"', 8: "ERROR: Index 2 out of bounds for length 2",
+    }
