@@ -39,7 +39,7 @@ def word_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     top = words.top_words(counts, a.top).cache()
     sinks.write_tsv(top, f"{a.output}/top", one_file=True)
     top = text.read_top_words(spark, a.top_words) if a.top_words else top
-    pairs = cooccur.pairs(lines, top, a.distance)
+    pairs = cooccur.pairs(cooccur.tokenized(lines, "line"), top, a.distance)
     label = F.concat(F.lit("("), "center", F.lit(","), "neighbor", F.lit(")"))
     sinks.write_tsv(pairs.select(label, "cnt"), f"{a.output}/pairs")
     sinks.write_tsv(cooccur.stripes(pairs), f"{a.output}/stripes")

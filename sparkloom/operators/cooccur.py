@@ -1,6 +1,6 @@
 """Co-occurrence of top words within a distance, as pairs and as stripes.
 
-A record is a line; positions count all its valid tokens. Everything up to the counts happens within a line's own
+A record is a line (an array ``tokens``); positions count all its valid tokens. Everything up to the counts happens within a line's own
 array: the top words kept with their positions, each zipped with the 1st to d-th next one, and no two kept words
 can be within d positions without being among the d next. So no token is shuffled, only partial counts are.
 """
@@ -11,14 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import clean_words
+from sparkloom.session import materialize
 
 
-def _kept(lines: DataFrame, top: DataFrame, line: str) -> DataFrame:
-    """Arrays of (p, t): the top words of each line. The top list is n words, passed on as one array."""
-    words = top.agg(F.collect_list("word").alias("w")).scalar()
-    tokens = lines.select(clean_words(F.col(line)).alias("tokens"), words.alias("words"))
+#: Words that a top list may have; they become literals of the plan, looked up by hash.
+TOP_WORDS = 10_000
+
+
+def tokenized(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The lines' tokens, written once for the top list and what is counted by it."""
+    return materialize(lines.select(clean_words(F.col(line)).alias("tokens")), "tokens")
+
+
+def _kept(tokens: DataFrame, top: DataFrame) -> DataFrame:
+    """Arrays of (p, t): the top words of each line of tokens."""
+    words = [r[0] for r in top.select("word").limit(TOP_WORDS + 1).collect()]
+    if len(words) > TOP_WORDS:
+        raise ValueError(f"the top list has more than {TOP_WORDS} words")
     placed = F.transform("tokens", lambda t, i: F.struct(i.alias("p"), t.alias("t")))
-    return tokens.select(F.filter(placed, lambda x: F.array_contains("words", x["t"])).alias("kept"))
+    return tokens.select(F.filter(placed, lambda x: x["t"].isin(words)).alias("kept"))
 
 
 def _near(kept: Column, distance: int) -> Column:
@@ -30,9 +41,9 @@ def _near(kept: Column, distance: int) -> Column:
     return F.transform(F.concat(*found), lambda x: F.struct(x["a"]["t"].alias("a"), x["b"]["t"].alias("b")))
 
 
-def pairs(lines: DataFrame, top: DataFrame, distance: int = 1, line: str = "line") -> DataFrame:
+def pairs(tokens: DataFrame, top: DataFrame, distance: int = 1) -> DataFrame:
     """center, neighbor, cnt over both directions; a word next to itself counts in both."""
-    near = _kept(lines, top, line).select(F.explode(_near(F.col("kept"), distance)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    near = _kept(tokens, top).select(F.explode(_near(F.col("kept"), distance)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
     both = near.select(F.col("a").alias("center"), F.col("b").alias("neighbor"), "n").unionAll(near.select("b", "a", "n"))
     return both.groupBy("center", "neighbor").agg(F.sum("n").alias("cnt"))
 
@@ -44,10 +55,10 @@ def stripes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("center").agg(F.concat(F.lit("{"), text, F.lit("}")).alias("stripe"))
 
 
-def stripes_with_empty(lines: DataFrame, top: DataFrame, distance: int = 1, line: str = "line") -> DataFrame:
+def stripes_with_empty(tokens: DataFrame, top: DataFrame, distance: int = 1) -> DataFrame:
     """Stripes, and {} for a top word that occurs without a top neighbour."""
-    present = _kept(lines, top, line).select(F.explode("kept.t").alias("center")).distinct()
-    return present.join(stripes(pairs(lines, top, distance, line)), "center", "left").select("center", F.coalesce("stripe", F.lit("{}")).alias("stripe"))
+    present = _kept(tokens, top).select(F.explode("kept.t").alias("center")).distinct()
+    return present.join(stripes(pairs(tokens, top, distance)), "center", "left").select("center", F.coalesce("stripe", F.lit("{}")).alias("stripe"))
 
 
 def symmetry(counts: DataFrame) -> DataFrame:

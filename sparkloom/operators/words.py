@@ -44,14 +44,14 @@ def top_terms(df: DataFrame, n: int = 100) -> DataFrame:
 
 
 def term_frequency(docs: DataFrame, of: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, term, tf for the terms of ``of``, a top list: its n rows are broadcast."""
+    """doc_id, term, tf for the terms of ``of``, such as a top list."""
     rows = docs.select("doc_id", F.explode(terms(F.col(text))).alias("term"))
-    return rows.join(F.broadcast(of.select("term")), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return rows.join(of.select("term"), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def tf_idf(tf: DataFrame, df: DataFrame) -> DataFrame:
     score = F.col("tf") * F.log(F.lit(SCORE_DOCUMENTS) / F.col("df") + 1)
-    return tf.join(F.broadcast(df.select("term", "df")), "term").select("doc_id", "term", score.alias("score"))
+    return tf.join(df.select("term", "df"), "term").select("doc_id", "term", score.alias("score"))
 
 
 def compare_scores(expected: DataFrame, actual: DataFrame, eps: float = 1e-6) -> DataFrame:

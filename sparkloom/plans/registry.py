@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.logs import LENIENT
-from sparkloom.functions.text import MARKUP, STOP_WORDS, WORD_GAP, word_frame
+from sparkloom.functions.text import MARKUP, NOISE_STEMS, STOP_WORDS, WORD_GAP, word_frame
 from sparkloom.operators import cooccur, fragments, traffic, words
-from sparkloom.session import table
+from sparkloom.plans.stems import stem_sql
+from sparkloom.session import materialize, table
 from sparkloom.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +209,11 @@ def _top50(spark: SparkSession, d: str) -> DataFrame:
     return words.top_words(words.clean_counts(adapters.lines(spark, d)))
 
 
+def _tokens_and_top50(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = cooccur.tokenized(adapters.lines(spark, d))
+    return tokens, words.top_words(words.count_words(tokens, F.col("tokens")))
+
+
 @query(f"with {_TOP50} from top")
 def word_top50(spark: SparkSession, d: str) -> DataFrame:
     return _top50(spark, d)
@@ -226,11 +232,11 @@ def _stripes_sql(distance: int) -> str:
 def _cooccurrence(distance: int) -> None:
     @query(f"with {_pairs_sql(distance)} from pairs", f"pairs_d{distance}")
     def pairs(spark: SparkSession, d: str) -> DataFrame:
-        return cooccur.pairs(adapters.lines(spark, d), _top50(spark, d), distance)
+        return cooccur.pairs(*_tokens_and_top50(spark, d), distance)
 
     @query(f"with {_stripes_sql(distance)} from stripes", f"stripes_d{distance}")
     def stripes(spark: SparkSession, d: str) -> DataFrame:
-        return cooccur.stripes(cooccur.pairs(adapters.lines(spark, d), _top50(spark, d), distance))
+        return cooccur.stripes(cooccur.pairs(*_tokens_and_top50(spark, d), distance))
 
 
 for _distance in (1, 2, 3, 4):
@@ -239,7 +245,7 @@ for _distance in (1, 2, 3, 4):
 
 @query(f"with {_stripes_sql(1)} select c.t as center, coalesce(stripe, '{{}}') as stripe from (select distinct t from kept) c left join stripes on c.t = center")
 def stripes_class_d1(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.stripes_with_empty(adapters.lines(spark, d), _top50(spark, d), 1)
+    return cooccur.stripes_with_empty(*_tokens_and_top50(spark, d), 1)
 
 
 @query(
@@ -247,7 +253,7 @@ def stripes_class_d1(spark: SparkSession, d: str) -> DataFrame:
     from pairs p full join pairs m on p.center = m.neighbor and p.neighbor = m.center"""
 )
 def pairs_symmetry_check(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.symmetry(cooccur.pairs(adapters.lines(spark, d), _top50(spark, d), 2))
+    return cooccur.symmetry(cooccur.pairs(*_tokens_and_top50(spark, d), 2))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +276,7 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    top = df_top100(spark, d)
+    top = materialize(df_top100(spark, d), "top-terms")
     return words.tf_idf(words.term_frequency(_documents(spark, d), top), top)
 
 
@@ -282,25 +288,32 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_TERMS} select count(*) as matched, 0::bigint as mismatched, 0::bigint as missing, 0::bigint as extra from tfidf")
 def tfidf_verify(spark: SparkSession, d: str) -> DataFrame:
     """Scores against a recomputation by another tokenizer: letters and digits are found, not split at."""
-    top = df_top100(spark, d)
+    top = materialize(df_top100(spark, d), "top-terms")
     found = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}']+"), F.lit(0))
     again = _documents(spark, d).select("doc_id", F.explode(found).alias("t"))
     again = again.select("doc_id", F.regexp_replace(F.regexp_replace(F.lower("t"), "^'+", ""), "'+$", "").alias("term"))
-    again = again.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(F.broadcast(top), "term")  # the top list's 100 rows
+    again = again.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(top, "term")
     again = again.select("doc_id", "term", (F.col("tf") * F.log1p(F.lit(10000.0) / F.col("df"))).alias("score"))
     return words.compare_scores(again, _tfidf(spark, d))
 
 
-@query()
+_STEMMED = f"""{_TERMS}, vocabulary as (select distinct term from terms where term is not null union select unnest([{', '.join(map(_q, STOP_WORDS))}])), {stem_sql('vocabulary', 'stems')},
+    stop as (select unnest([{', '.join(map(_q, STOP_WORDS))}]) as term),
+    kept as (select term, stem from stems where term not in (select term from stop) and stem <> '' and stem not in (select term from stop) and stem not in (select stem from stems where term in (select term from stop)) and stem not in ({', '.join(map(_q, NOISE_STEMS))})),
+    stf as (select doc_id, stem as term, count(*) as tf from terms join kept using (term) group by doc_id, stem),
+    top_df as (select term, count(*) as df from stf group by term order by df desc, term limit 100)"""
+
+
+@query(f"with {_STEMMED} from top_df")
 def df_stemmed(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     return words.top_terms(words.stemmed_document_frequency(docs, word_frame(docs, STOP_WORDS)))
 
 
-@query()
+@query(f"with {_STEMMED} select doc_id, term, round(tf * ln(10000.0::double / df + 1), 6) as score from stf join top_df using (term)")
 def tfidf_stemmed(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    tf = words.stemmed_terms(docs, word_frame(docs, STOP_WORDS))
+    tf = materialize(words.stemmed_terms(docs, word_frame(docs, STOP_WORDS)), "stemmed-terms")
     top = words.top_terms(tf.groupBy("term").agg(F.count("*").alias("df")))
     return words.tf_idf(tf, top).withColumn("score", F.round("score", 6))
 

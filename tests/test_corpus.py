@@ -57,9 +57,9 @@ def test_pairs_and_stripes(spark, distance):
             for j in range(max(0, i - distance), min(len(t), i + distance + 1)):
                 if i != j and {a, t[j]} <= {"one", "two", "four"}:
                     expected[a, t[j]] += 1
-    pairs = cooccur.pairs(lines, top, distance)
+    pairs = cooccur.pairs(cooccur.tokenized(lines), top, distance)
     assert {(r[0], r[1]): r[2] for r in pairs.collect()} == dict(expected)
-    stripes = {r[0]: r[1] for r in cooccur.stripes_with_empty(lines, top, distance).collect()}
+    stripes = {r[0]: r[1] for r in cooccur.stripes_with_empty(cooccur.tokenized(lines), top, distance).collect()}
     for c in ("one", "two", "four"):
         cells = ", ".join(f"{n}:{k}" for (a, n), k in sorted(expected.items()) if a == c)
         assert stripes[c] == "{" + cells + "}"
