@@ -129,7 +129,7 @@ RULES = [
 #: Notices that sequences are read past.
 NOTICES = ["COPYRIGHT", "RESERVED"]
 #: Every known sentence has one of these within a word; they're looked for before a text is cut.
-ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "reserved", "unencumbered", "liable", "software", "general", "either", "domain", "mpl", "altered", "liability"]
+ANCHORS = ["licens", "permission", "redistribut", "copyright", "warrant", "reserved", "unencumbered", "liable", "software", "cc0", "mozilla", "misrepresented", "altered", "liability"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks of a cut and of a line end. They are doubled, so that two sentences side by side have one each.
 HARD, SOFT = "\x01\x01", "\n\n"
@@ -166,7 +166,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     ','), licences (in the order of the rules, joined by ';', each once), left_over (identifiers that no rule took, by ','). Repeated rows
     repeat; an empty table gives no rows."""
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    hopeful = reduce(Column.__or__, (low.contains(a) for a in ANCHORS))
+    # at least as many texts as by ``low``, which takes far longer
+    hopeful = reduce(Column.__or__, (F.lower(F.coalesce("text", F.lit(""))).contains(a) for a in ANCHORS))
     marked = F.concat(F.lit(HARD), F.ltrim(_steps(F.concat(low, F.lit("\n")))), F.lit(HARD))
     found = F.when(hopeful, F.regexp_extract_all(marked, F.lit(sentence_pattern()), F.lit(1))).otherwise(F.array().cast("array<string>"))
     known = F.create_map(*(F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)))
