@@ -223,12 +223,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def runs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of runs of rows with about BATCH_BYTES bytes of text, one row at least."""
+def runs(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of runs of rows with about ``most`` bytes of text, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, done = 0, 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, done + BATCH_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield at, column.slice(at, to - at)
         at, done = to, int(ends[to - 1])
 

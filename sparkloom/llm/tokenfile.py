@@ -13,10 +13,10 @@ Files get their names by an atomic rename, so a task that runs twice leaves one
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.bpe import runs
 from sparkloom.session import ship
 
+#: Text that the library gets at a time.
+CALL_BYTES = 200_000
 #: Sequences in a record batch.
 BATCH_ROWS = 256
 MANIFEST = "part int, ids_file string, index_file string, n_ids long, n_docs long, n_sequences long"
@@ -41,6 +43,7 @@ _tools: dict[str, Any] = {}
 def library(path: str) -> Any:
     """A vocabulary file as a tokenizer of the tokenizers library, one a worker process."""
     if path not in _tools:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
@@ -50,6 +53,13 @@ def library(path: str) -> Any:
     return _tools[path]
 
 
+def token_ids(tool: Any, texts: pa.Array) -> Iterator[list[int]]:
+    """Ids of each whole text (null: empty). What the library makes of a token is large, so few texts go to it at a time."""
+    for _, part in runs(texts, CALL_BYTES):
+        for e in tool.encode_batch_fast(pc.fill_null(part, "").to_pylist(), add_special_tokens=False):
+            yield e.ids
+
+
 def _save(where: fs.FileSystem, path: str, table: Iterable[pa.RecordBatch], schema: pa.Schema) -> None:
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(temporary) as sink, pa.ipc.new_file(sink, schema) as out:
@@ -81,12 +91,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, l
             nonlocal rest, done
             for b in batches:
                 for at, run in runs(b.column("text")):
-                    found = [e.ids for e in tool.encode_batch_fast(pc.fill_null(run, "").to_pylist(), add_special_tokens=False)]
-                    size = np.fromiter(map(len, found), np.int64, len(found)) + 1
-                    ids = np.full(int(size.sum()), end_id, kind)
-                    inner = np.ones(len(ids), bool)
-                    inner[np.cumsum(size) - 1] = False
-                    ids[inner] = np.fromiter(chain.from_iterable(found), kind, len(ids) - len(found))
+                    found = [np.array([*x, end_id], kind) for x in token_ids(tool, run)]
+                    size, ids = np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
                     names.append(b.column("doc_id").slice(at, len(run)))
                     begins.append(done + np.concatenate([[0], np.cumsum(size)[:-1]]))
                     counts.append(size)
