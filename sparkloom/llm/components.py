@@ -209,8 +209,8 @@ def tile_members(tiles: DataFrame) -> DataFrame:
 
     Leads are the least and the largest, so that one group of nodes has the same ones in its tiles.
     """
-    led = tiles.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
-    # dealt by node too, so that the rows of a key aren't one task's
-    rows = tiles.join(led, "key").repartition("key", "node").groupBy("key", "x", "y", "node").count()
+    # one shuffle of all rows for both; who shares a tile is dealt by node as well after it
+    dealt = tiles.repartition("key")
+    led = dealt.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y")
+    rows = dealt.join(led.hint("shuffle_hash"), "key").repartition("key", "node").groupBy("key", "x", "y", "node").count()
     return materialize(rows.select("key", F.array("x", "y").alias("leads"), "node"), "tile-members")
-
