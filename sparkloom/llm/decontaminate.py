@@ -7,7 +7,7 @@ item is missed, however long the document is. Document partitions with too few s
 A document that holds one of an item's signature hashes is compared with the whole item by exact shingle
 containment (words, not hashes).
 
-Items are collected in blocks of ``BLOCK`` rows, so memory doesn't grow with the benchmark; each block
+Items are collected in blocks of ``BLOCK`` rows and ``BLOCK_BYTES`` of text, one at a time, so memory doesn't grow with the benchmark; each block
 goes once over the documents.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.textkernel import U, chunks, distinct, shingles, split_words
 from sparkloom.session import ship
 
-#: Items of a block.
-BLOCK = 20_000
+#: Items of a block, and bytes of their text.
+BLOCK, BLOCK_BYTES = 20_000, 64_000_000
 _FILTER_BITS = 20
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,12 +114,14 @@ class Index:
                             yield at + d, item_id, len(item), common
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK, one at least."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``BLOCK`` rows and ``BLOCK_BYTES`` of text at most, one at least; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    blocks = max(1, -(-items.count() // BLOCK))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK), -(-size // BLOCK_BYTES))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    return [[tuple(r) for r in dealt.where(F.col("block") == i).drop("block").collect()] for i in range(blocks)]
+    for i in range(blocks):
+        yield [tuple(r) for r in dealt.where(F.col("block") == i).drop("block").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -134,7 +136,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = _blocks(benchmark)
 
     def leaks(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -149,7 +150,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80,
 
         return slim.mapInArrow(work, LEAKS)
 
-    return reduce(DataFrame.unionByName, [leaks(p) for p in parts])
+    return reduce(DataFrame.unionByName, map(leaks, _blocks(benchmark)))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

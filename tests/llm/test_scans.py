@@ -43,8 +43,9 @@ def test_leaks_equal_brute_force(spark, documents, nothing, num):
 def test_blocks_of_items_change_nothing(spark, documents, monkeypatch):
     bench = documents.where("text is not null").select(F.col("doc_id").alias("item_id"), "text")
     whole = sorted(map(tuple, decontaminate.find_leaks(documents, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK", 25)
-    assert sorted(map(tuple, decontaminate.find_leaks(documents, bench).collect())) == whole
+    for name, value in (("BLOCK", 25), ("BLOCK_BYTES", 5_000)):
+        monkeypatch.setattr(decontaminate, name, value)
+        assert sorted(map(tuple, decontaminate.find_leaks(documents, bench).collect())) == whole
 
 
 # Licences
