@@ -74,7 +74,8 @@ def read_shards(spark: SparkSession, path: str, record: StructType) -> DataFrame
     sizes = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, ["shard", "bucket"]).select("shard", (F.col("base") + F.col("place")).alias("slot"), "record")
+    # a row a bucket, that is a file, goes to all; else the records would be shuffled a second time to meet them
+    return rows.join(F.broadcast(bases), ["shard", "bucket"]).select("shard", (F.col("base") + F.col("place")).alias("slot"), "record")
 
 
 def shard_digests(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17) -> DataFrame:

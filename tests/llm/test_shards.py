@@ -71,3 +71,15 @@ def test_repeated_rows_are_dealt_to_buckets(spark, monkeypatch):
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "long " * 400_000), (2, "short"), (3, None)], "doc_id long, text string")
     assert sorted(r[1] for r in digests(spark, docs)) == [8, 13, 2_000_008]
+
+
+def test_records_are_not_shuffled_to_meet_their_bases(spark):
+    path, docs = scratch(spark, "shards-plan"), spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    sharding.write_shards(docs, path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = sharding.read_shards(spark, path, docs.schema)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
