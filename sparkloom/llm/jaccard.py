@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.components import Closeness, tile_groups, tile_members
 from sparkloom.llm.textkernel import U, mix, shingle_sets
-from sparkloom.session import materialize, ship
+from sparkloom.session import discard, materialize, ship
 
 BAND_RATIO = 1.5
 #: Differing shingles up to which one range is spare; shingles that a range of larger sets must have on average.
@@ -206,20 +206,34 @@ def _base(docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, sig, text) to (sig, n, bits, items)."""
+    """(doc_id, sig, text) to (sig, n, bits, text)."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = list(shingle_sets(part.column("text"), k))
-                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "n", "bits", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), part.column("text")], ["sig", "n", "bits", "text"])
 
-    return docs.mapInArrow(work, "sig long, n long, bits binary, items binary")
+    return docs.mapInArrow(work, "sig long, n long, bits binary, text string")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of the (a, b) pairs of classes that link."""
+def _items(texts: DataFrame, k: int) -> DataFrame:
+    """(sig, text) to (sig, items)."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())], ["sig", "items"])
+
+    return texts.select("sig", "text").mapInArrow(work, "sig long, items binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """Those of the (a, b) pairs of classes that link, as a table of its own.
+
+    Bitmaps leave few pairs, so sorted arrays are made of the texts of these pairs alone, and go when they have been compared."""
     close = closeness(threshold)
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +251,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
                 keep.append(threshold.linked(overlap(p, q), len(p) + len(q)))
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("sig").alias(name), *(F.col(c).alias(c[0] + name) for c in columns))
+    def side(of: DataFrame, name: str, *columns: str) -> DataFrame:
+        return of.select(F.col("sig").alias(name), *(F.col(c).alias(c[0] + name) for c in columns))
 
     could = F.least("na", "nb") * threshold.den >= F.greatest("na", "nb") * threshold.num
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(could).mapInArrow(bounded, "a long, b long")
-    return near.join(side("a", "items"), "a").join(side("b", "items"), "b").mapInArrow(exact, "a long, b long")
+    near = pairs.join(side(sets, "a", "n", "bits"), "a").join(side(sets, "b", "n", "bits"), "b").where(could).mapInArrow(bounded, "a long, b long")
+    near = materialize(near, "jaccard-near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    items = materialize(_items(sets.join(ends.hint("merge"), "sig", "left_semi"), k), "jaccard-items")
+    both = near.join(side(items, "a", "items"), "a").join(side(items, "b", "items"), "b")
+    links = materialize(both.mapInArrow(exact, "a long, b long"), "jaccard-links")
+    discard(near)
+    discard(items)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -259,17 +280,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     threshold = Threshold(num, den)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(_base(slim, k, threshold), "jaccard-base")
-    known = base.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    tiles = known.select(F.explode("keys").alias("key"), F.col("sig").alias("node"))
-    members = tile_members(tiles)
+    wanted = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    members = tile_members(base.where(wanted).select(F.explode("keys").alias("key"), F.col("sig").alias("node")))
+    rows = materialize(base.select("doc_id", "n_shingles", "sig"), "jaccard-rows")
+    discard(base)  # the keys are in the tiles now
+    classes = rows.where(wanted).groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("rep"))
     involved = members.select(F.col("node").alias("sig")).distinct().join(classes, "sig").select("sig", F.col("rep").alias("doc_id"))
     # texts are shuffled whatever the number of classes is, so that the plan is one at every size
     sets = materialize(_sets(slim.join(materialize(involved, "jaccard-involved").hint("merge"), "doc_id"), k), "jaccard-sets")
     nodes = sets.select(F.col("sig").alias("node"), "n", "bits")
-    groups = tile_groups(members, nodes, bitmaps, closeness(threshold), lambda pairs: _verified(pairs, sets, threshold))
+    groups = tile_groups(members, nodes, bitmaps, closeness(threshold), lambda pairs: _verified(pairs, sets, k, threshold))
     named = classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n_shingles", "rep", F.coalesce("component", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "comp").select("sig", "n_shingles", "component_id")
-    rows = base.select("doc_id", "n_shingles", "sig")
     return rows.join(of, ["sig", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

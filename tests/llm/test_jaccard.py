@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 import pytest
 
-from sparkloom.llm import components
+from sparkloom.llm import components, jaccard
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.decontaminate import shingle_words, words_of
 from sparkloom.llm.jaccard import Bands, Threshold, bitmap, bitmaps, closeness, jaccard_components, overlap
 from sparkloom.llm.textkernel import mix
+from sparkloom.session import materialize
 
 
 def brute(rows, k, num, den):
@@ -60,6 +62,29 @@ def test_nulls_and_no_rows(spark, nothing):
     assert jaccard_components(nothing).count() == 0
 
 
+def test_arrays_are_made_of_close_pairs_alone_and_go(spark, monkeypatch):
+    """Documents that share a passage are in its tiles; only the near copies among them need their shingles."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(60))) for i in range(30)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[1][1] + " end")]
+    made = {}
+
+    def kept(df, label):
+        table = materialize(df, label)
+        made.setdefault(label, []).append((table, table.count(), table.columns))
+        return table
+
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    got = {r[0]: r[1:] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == brute(rows, 5, 80, 100) and got[100][1] == 0 and got[101][1] == 1
+    assert sum(n for _, n, _ in made["jaccard-sets"]) == 32 and max(n for _, n, _ in made["jaccard-items"]) == 4
+    for label, tables in made.items():
+        for table, _, columns in tables:
+            if {"keys", "items"} & set(columns):
+                assert not any(os.path.exists(f.removeprefix("file:")) for f in table.inputFiles()), label
+
+
 @pytest.mark.parametrize("num", [90, 80, 50])
 def test_linked_sets_share_a_tile(num):
     rng = np.random.default_rng(num)
