@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import fragment_of
+from sparkloom.session import ship
 
 FRAGMENTS = 3
+#: Parts of a log, of as many reads each, that are answered apart; characters of answers that leave a task's Python at a time.
+PARTS, _CHARS = 256, 4_000_000
 
 
 def route(students: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
@@ -130,9 +137,59 @@ def top_answers(commands: DataFrame) -> DataFrame:
     came = held.select("seq", "courses", F.lit(1).alias("n"))
     left = held.where("until is not null").select(F.col("until").alias("seq"), "courses", F.lit(-1).alias("n"))
     most = _as_of(came.union(left).where("courses > 0"), reads, "courses", "n").where("n > 0").groupBy("seq").agg(F.max("courses").alias("courses"))
-    there = (F.col("h.courses") == F.col("m.courses")) & (F.col("h.seq") < F.col("m.seq")) & (F.col("h.until").isNull() | (F.col("h.until") >= F.col("m.seq")))
-    who = most.alias("m").join(held.alias("h"), there).select("m.seq", "h.student_id").join(replay_students(commands).select("student_id", "name"), "student_id")
-    return reads.join(students_text(who, "seq"), "seq", "left").select("seq", F.coalesce("result", F.lit("NULL")).alias("result"))
+    named = held.where(F.array_contains(most.agg(F.collect_set("courses").alias("v")).scalar(), F.col("courses"))).join(replay_students(commands).select("student_id", "name"), "student_id")
+    bounds = F.broadcast(reads.agg(F.percentile_approx("seq", [k / PARTS for k in range(1, PARTS)]).alias("bounds")))  # one row
+
+    def part(seq: Column) -> Column:
+        return F.size(F.filter("bounds", lambda b: b < seq))
+
+    last = F.when(F.col("until").isNull(), F.lit(PARTS - 1)).otherwise(part(F.col("until")))
+    stays = named.crossJoin(bounds).select(F.explode(F.sequence(part(F.col("seq")), last)).alias("part"), "seq", F.lit(False).alias("read"), "courses", "student_id", F.concat_ws(",", "student_id", "name").alias("t"), "until")
+    nobody = (F.lit(None).cast("string").alias("student_id"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("until"))
+    asked = reads.join(most, "seq", "left").crossJoin(bounds).select(part(F.col("seq")).alias("part"), "seq", F.lit(True).alias("read"), "courses", *nobody)
+    return _lists(stays.unionByName(asked))
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """seq and result of each read among rows (part, seq, read, courses, student_id, t, until): the texts of the students who have its number
+    of courses then, by id, or NULL. Students are there after seq and up to until; they come in each part of the log in which they are.
+
+    A read's list is made where it is answered, from that of the reads before it: what is shuffled are students' stays, not lists.
+    """
+
+    def answer(seq: list[int], result: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(result, pa.string())], ["seq", "result"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seqs, results, chars = None, [], [], 0
+        there: dict[int, tuple[list, list, list]] = {}  # of each number of courses: ids, their texts, and who goes when
+        for b in batches:
+            for part, seq, read, courses, student, text, until in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "read", "courses", "student_id", "t", "until"))):
+                if part != now:
+                    now, there = part, {}
+                ids, texts, ends = there.setdefault(courses, ([], [], []))
+                if not read:
+                    i = bisect_left(ids, student)
+                    ids.insert(i, student)
+                    texts.insert(i, text)
+                    if until is not None:
+                        heappush(ends, (until, student))
+                    continue
+                while ends and ends[0][0] < seq:
+                    i = bisect_left(ids, heappop(ends)[1])
+                    del ids[i], texts[i]
+                seqs.append(seq)
+                results.append(";".join(texts) if texts else "NULL")
+                chars += len(results[-1])
+                if chars > _CHARS or len(seqs) >= 10_000:
+                    yield answer(seqs, results)
+                    seqs, results, chars = [], [], 0
+        if seqs:
+            yield answer(seqs, results)
+
+    ship(rows.sparkSession)
+    # the number of tasks follows from the answers, not from the few rows that are shuffled
+    return rows.repartition(PARTS, "part").sortWithinPartitions("part", "seq", F.desc("read")).mapInArrow(work, "seq long, result string")
 
 
 def profiles(commands: DataFrame) -> DataFrame:

@@ -71,3 +71,14 @@ def test_bad_arguments(spark):
         1: 'ERROR: For input string: "x"', 2: "ERROR: Index 4 out of bounds for length 4", 3: 'ERROR: For input string: "x"',
         5: "ERROR: Index 1 out of bounds for length 1", 6: "ERROR: Index 1 out of bounds for length 1", 7: 'ERROR: For input string: "99999999999"', 8: "ERROR: Index 2 out of bounds for length 2",
     }
+
+
+def test_lists_of_students_are_made_where_reads_are_answered(spark, monkeypatch):
+    """300 students asked for 300 times are 90,000 places in lists; no row is made or collected for each of them."""
+    monkeypatch.setattr(fragments, "PARTS", 8, raising=False)
+    log = [(k, "INSERT_STUDENT", f"S{k}", None, None, f"n{k}") for k in range(1, 301)] + [(300 + k, "INSERT_GRADE", f"S{k}", 1, 5, None) for k in range(1, 301)] + [(600 + k, "READ_ALL", None, None, None, None) for k in range(1, 301)]
+    commands = spark.createDataFrame([(*r, None) for r in log], "seq long, command string, student_id string, course_id long, score int, name string, email string")
+    answers = fragments.top_answers(commands)
+    everyone = ";".join(f"S{k},n{k}" for k in sorted(range(1, 301), key=str))
+    assert {r[0]: r[1] for r in answers.collect()} == {600 + k: everyone for k in range(1, 301)}
+    assert "collect_list" not in answers._jdf.queryExecution().optimizedPlan().toString()
