@@ -35,14 +35,9 @@ def normal_term(token: Column) -> Column:
     return F.when(good, term)
 
 
-def terms(text: Column) -> Column:
-    """Normalised terms of a text, repeats kept."""
-    return F.filter(F.transform(F.split(text, TERM_GAP), normal_term), lambda t: t.isNotNull())
-
-
 def without(rows: DataFrame, words: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is not in the first column of ``words``."""
-    return rows.join(words.toDF(column), column, "left_anti")
+    """Rows whose ``column`` is not in the first column of ``words``, a list of stop words or the like that any task can hold."""
+    return rows.join(F.broadcast(words.toDF(column)), column, "left_anti")
 
 
 def word_frame(rows: DataFrame, words: list[str]) -> DataFrame:

@@ -307,15 +307,14 @@ _STEMMED = f"""{_TERMS}, vocabulary as (select distinct term from terms where te
 @query(f"with {_STEMMED} from top_df")
 def df_stemmed(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    return words.top_terms(words.stemmed_document_frequency(docs, word_frame(docs, STOP_WORDS)))
+    return words.stemmed_top_terms(docs, word_frame(docs, STOP_WORDS))[0]
 
 
 @query(f"with {_STEMMED} select doc_id, term, round(tf * ln(10000.0::double / df + 1), 6) as score from stf join top_df using (term)")
 def tfidf_stemmed(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    tf = materialize(words.stemmed_terms(docs, word_frame(docs, STOP_WORDS)), "stemmed-terms")
-    top = words.top_terms(tf.groupBy("term").agg(F.count("*").alias("df")))
-    return words.tf_idf(tf, top).withColumn("score", F.round("score", 6))
+    top, tf = words.stemmed_top_terms(docs, word_frame(docs, STOP_WORDS))
+    return words.tf_idf(tf, F.broadcast(top)).withColumn("score", F.round("score", 6))
 
 
 # Fragment store ---------------------------------------------------------------------------------------------------

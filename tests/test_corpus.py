@@ -78,3 +78,31 @@ def test_stemmed_terms_leave_stop_and_noise_out(spark):
     docs = spark.createDataFrame([(1, "Running runs http external the Countries")], "doc_id long, text string")
     stop = spark.createDataFrame([("the",)], "word string")
     assert {(r[1], r[2]) for r in words.stemmed_terms(docs, stop).collect()} == {("run", 2), ("countri", 1)}
+
+
+def test_terms_of_odd_texts(spark):
+    """Rows of one doc_id are one document; letters become lower ones each by itself, as in SQL; null and empty texts have no terms."""
+    docs = spark.createDataFrame([(1, "The ΟΔΟΣ, 'tis; the the's x1y ab abc''"), (1, "THE 'the'"), (2, None), (3, ""), (None, "the")], "doc_id long, text string")
+    assert {tuple(r) for r in words.document_frequency(docs).collect()} == {("the", 3), ("οδοσ", 1), ("tis", 1), ("the's", 1), ("abc", 1)}
+    some = spark.createDataFrame([("the",), ("abc",), ("ab",), (None,)], "term string")
+    assert {tuple(r) for r in words.term_frequency(docs, some).collect()} == {(1, "the", 4), (1, "abc", 1), (None, "the", 1)}
+
+
+def test_tokens_are_not_normalised_one_by_one(spark):
+    """Expressions of each token of a text took most of the time; rows of all a document's terms were made for a list of some."""
+    docs = spark.createDataFrame([(1, "the cat"), (2, "the dog")], "doc_id long, text string")
+    top = spark.createDataFrame([("the",)], "term string")
+    for made in (words.document_frequency(docs), words.term_frequency(docs, top), words.stemmed_terms(docs, top)):
+        assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_top_stems_are_those_of_all_stems(spark):
+    """Stems whose terms are in the same documents look more frequent than they are: more of them are counted until none can be."""
+    decoys = " ".join(f"{x} {x}s {x}ed {x}ing" for x in ("walk", "jump", "park", "talk", "cook", "help"))
+    docs = spark.createDataFrame([(1, decoys), (2, decoys), (3, "tree tree"), (4, "tree"), (5, "trees"), (6, "the")], "doc_id long, text string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    every = words.stemmed_terms(docs, stop)
+    for n in (1, 3, 50):
+        top, tf = words.stemmed_top_terms(docs, stop, n)
+        assert top.collect() == words.top_terms(every.groupBy("term").agg(F.count("*").alias("df")), n).collect()
+        assert {tuple(r) for r in tf.join(top, "term").select("doc_id", "term", "tf").collect()} == {tuple(r) for r in every.join(top, "term").select("doc_id", "term", "tf").collect()}
