@@ -291,8 +291,9 @@ def tfidf_verify(spark: SparkSession, d: str) -> DataFrame:
     top = materialize(df_top100(spark, d), "top-terms")
     found = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}']+"), F.lit(0))
     again = _documents(spark, d).select("doc_id", F.explode(found).alias("t"))
-    again = again.select("doc_id", F.regexp_replace(F.regexp_replace(F.lower("t"), "^'+", ""), "'+$", "").alias("term"))
-    again = again.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(top, "term")
+    # letters become lower ones each by itself, wherever they stand
+    again = again.select("doc_id", F.btrim(F.lower(F.translate("t", "\u03a3\u0130", "\u03c3i")), F.lit("'")).alias("term"))
+    again = again.join(F.broadcast(top.select("term")), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(F.broadcast(top), "term")
     again = again.select("doc_id", "term", (F.col("tf") * F.log1p(F.lit(10000.0) / F.col("df"))).alias("score"))
     return words.compare_scores(again, _tfidf(spark, d))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.porter import stem
 from sparkloom.functions.text import clean_words, normal_term, raw_words
 from sparkloom.operators import cooccur, words
+from sparkloom.plans import registry
 
 
 def one(spark, expression, text):
@@ -106,3 +107,12 @@ def test_top_stems_are_those_of_all_stems(spark):
         top, tf = words.stemmed_top_terms(docs, stop, n)
         assert top.collect() == words.top_terms(every.groupBy("term").agg(F.count("*").alias("df")), n).collect()
         assert {tuple(r) for r in tf.join(top, "term").select("doc_id", "term", "tf").collect()} == {tuple(r) for r in every.join(top, "term").select("doc_id", "term", "tf").collect()}
+
+
+def test_recomputed_scores_leave_other_terms_early(spark, tmp_path):
+    """Terms that aren't in the list need no groups; capital sigma at a word's end and dotted I are compared as in SQL."""
+    spark.createDataFrame([(k, "ΟΔΟΣ İzmir ''the'' x1y cat") for k in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = registry.QUERIES["tfidf_verify"](spark, str(tmp_path))
+    assert tuple(made.first()) == (12, 0, 0, 0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
