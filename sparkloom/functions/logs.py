@@ -26,30 +26,29 @@ def parse_logs(lines: DataFrame, line: str = "line", pattern: str = LENIENT) ->
     Dates and hours stay as written, whatever the zone says. Hours aren't range-checked; a day that its month
     doesn't have is malformed, and so is a month not written like Jul. Bytes that aren't a number count as 0.
     """
-    at = lines.withColumn("_g", parsed(F.col(line), pattern))
+    # generated columns are made once a line: filters and what follows read them, where those of a projection would be worked out in each place
+    groups = lines.select("*", F.explode(F.array(parsed(F.col(line), pattern))).alias("_g"))
     stamp, request = F.split(F.col("_g")[3], ":"), F.col("_g")[4]
-    day = F.get(stamp, F.lit(0))
+    at = groups.select("*", F.inline(F.array(F.struct(F.get(stamp, F.lit(0)).alias("_day"), F.get(stamp, F.lit(1)).alias("_hour"), F.split(F.regexp_replace(request, r"\s+$", ""), r"\s+").alias("_words")))))
+    day, hour = F.col("_day"), F.col("_hour")
     date = F.when(day.rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}$"), F.to_date(F.try_to_timestamp(day, F.lit("dd/MMM/yyyy"))))
-    hour = F.get(stamp, F.lit(1))
-    words = F.split(F.regexp_replace(request, r"\s+$", ""), r"\s+")
 
     def word(i: int) -> Column:
-        return F.when(request.rlike(r"^\s+$"), F.lit("UNKNOWN")).otherwise(F.coalesce(F.get(words, F.lit(i)), F.lit("UNKNOWN")))
+        return F.when(request.rlike(r"^\s+$"), F.lit("UNKNOWN")).otherwise(F.coalesce(F.get("_words", F.lit(i)), F.lit("UNKNOWN")))
 
     size = F.col("_g")[6]
-    typed = at.withColumns(
-        {
-            "host": F.col("_g")[0],
-            "log_date": date,
-            "log_hour": F.when(hour.rlike(_INTEGER), hour.try_cast("int")),
-            "method": word(0),
-            "resource_path": word(1),
-            "protocol": word(2),
-            "status_code": F.col("_g")[5].try_cast("int"),
-            "bytes": F.coalesce(F.when(size.rlike(_INTEGER), size.try_cast("bigint")), F.lit(0).cast("bigint")),
-        }
-    )
-    return typed.withColumn("ok", F.col("_g").isNotNull() & F.col("log_date").isNotNull() & F.col("log_hour").isNotNull()).drop("_g")
+    typed = {
+        "host": F.col("_g")[0],
+        "log_date": date,
+        "log_hour": F.when(hour.rlike(_INTEGER), hour.try_cast("int")),
+        "method": word(0),
+        "resource_path": word(1),
+        "protocol": word(2),
+        "status_code": F.col("_g")[5].try_cast("int"),
+        "bytes": F.coalesce(F.when(size.rlike(_INTEGER), size.try_cast("bigint")), F.lit(0).cast("bigint")),
+    }
+    made = at.select(*(f"`{c}`" for c in lines.columns if c not in typed), "_g", F.inline(F.array(F.struct(*(c.alias(n) for n, c in typed.items())))))
+    return made.withColumn("ok", F.col("_g").isNotNull() & F.col("log_date").isNotNull() & F.col("log_hour").isNotNull()).drop("_g")
 
 
 def is_error(status: str = "status_code") -> Column:

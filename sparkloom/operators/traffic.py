@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.logs import is_error, parse_logs
+from sparkloom.session import materialize
 
 TOP = 20
 
@@ -72,7 +73,8 @@ def exact_hourly(logs: DataFrame) -> DataFrame:
 
 
 def results(logs: DataFrame) -> DataFrame:
-    """The three queries' rows in one sparse frame, as a run stores them."""
+    """The three queries' rows in one sparse frame, as a run stores them. Lines are parsed once for all three."""
+    logs = materialize(logs.select("batch_id", "host", "log_date", "log_hour", "resource_path", "status_code", "bytes"), "records")
     named = [f(logs).withColumn("query_name", F.lit(q)) for q, f in (("daily_traffic", daily_traffic), ("top_resources", top_resources), ("hourly_errors", hourly_errors))]
     first, second, third = named
     third = third.withColumn("error_rate", F.col("error_rate").cast("decimal(7,4)"))

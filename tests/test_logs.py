@@ -109,3 +109,12 @@ def test_stream_of_files(spark, tmp_path):
     query = stream_results(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_lines_are_parsed_once(spark):
+    """The three queries of a run read parsed records, and a filter on ok doesn't work out again what it is made of."""
+    lines = spark.createDataFrame([(1, f'h - - [01/Jul/1995:00:00:01 -0400] "GET /x{k} HTTP/1.0" 200 5') for k in range(5)] + [(2, "corrupt record")], "batch_id int, line string")
+    made = traffic.results(traffic.records(lines))
+    assert made.count() == 1 + 5 + 1
+    assert "regexp_replace" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert traffic.records(lines)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(line") < 4
