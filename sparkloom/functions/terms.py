@@ -26,7 +26,8 @@ def normal_terms(tokens: pa.Array) -> pa.Array:
     return pc.if_else(pc.and_not(good, pc.match_substring_regex(term, r"\p{Nd}")), term, pa.scalar(None, term.type))
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with so many bytes of text at a time, one row at least."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -57,7 +58,7 @@ def text_frequency(docs: DataFrame, text: str) -> DataFrame:
     """term, df: in how many texts each term is."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in parts(batches):
             _, code, _, names = _counted(part)
             yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(code, minlength=len(names)).astype(np.int64))], ["term", "df"])
 
@@ -73,7 +74,7 @@ def text_counts(docs: DataFrame, text: str, wanted: dict[str, str] | None = None
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = None if only is None else (pa.array(only[0], pa.string()), np.array(only[1], np.int64))
-        for part in _parts(batches):
+        for part in parts(batches):
             row, code, count, found = _counted(part, sought)
             for at in range(0, len(row), 500_000):
                 some = slice(at, at + 500_000)

@@ -7,11 +7,17 @@ can be within d positions without being among the d next. So no token is shuffle
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import clean_words
-from sparkloom.session import materialize
+from sparkloom.functions.terms import parts
+from sparkloom.functions.text import MARKUP, WORD_GAP
+from sparkloom.session import materialize, ship
 
 
 #: Words that a top list may have; they become literals of the plan, looked up by hash.
@@ -19,8 +25,21 @@ TOP_WORDS = 10_000
 
 
 def tokenized(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The lines' tokens, written once for the top list and what is counted by it."""
-    return materialize(lines.select(clean_words(F.col(line)).alias("tokens")), "tokens")
+    """The lines' tokens, as of :func:`sparkloom.functions.text.clean_words`, written once for the top list and what is counted by it."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            text = pc.utf8_lower(part.column("text"))
+            for pattern in MARKUP:
+                text = pc.replace_substring_regex(text, pattern, "")
+            split = pc.split_pattern_regex(pc.utf8_lower(text), WORD_GAP)
+            words = split.flatten()
+            kept = pc.greater_equal(pc.utf8_length(words), 2)
+            count = np.bincount(pc.list_parent_indices(split).to_numpy(zero_copy_only=False)[kept.to_numpy(zero_copy_only=False)], minlength=len(split))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), words.filter(kept))], ["tokens"])
+
+    ship(lines.sparkSession)
+    return materialize(lines.select(F.col(line).alias("text")).mapInArrow(work, "tokens array<string>"), "tokens")
 
 
 def _kept(tokens: DataFrame, top: DataFrame) -> DataFrame:
@@ -43,7 +62,11 @@ def _near(kept: Column, distance: int) -> Column:
 
 def pairs(tokens: DataFrame, top: DataFrame, distance: int = 1) -> DataFrame:
     """center, neighbor, cnt over both directions; a word next to itself counts in both."""
-    near = _kept(tokens, top).select(F.explode(_near(F.col("kept"), distance)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    return _pairs(_kept(tokens, top), distance)
+
+
+def _pairs(kept: DataFrame, distance: int) -> DataFrame:
+    near = kept.select(F.explode(_near(F.col("kept"), distance)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
     both = near.select(F.col("a").alias("center"), F.col("b").alias("neighbor"), "n").unionAll(near.select("b", "a", "n"))
     return both.groupBy("center", "neighbor").agg(F.sum("n").alias("cnt"))
 
@@ -56,9 +79,10 @@ def stripes(counts: DataFrame) -> DataFrame:
 
 
 def stripes_with_empty(tokens: DataFrame, top: DataFrame, distance: int = 1) -> DataFrame:
-    """Stripes, and {} for a top word that occurs without a top neighbour."""
-    present = _kept(tokens, top).select(F.explode("kept.t").alias("center")).distinct()
-    return present.join(stripes(pairs(tokens, top, distance)), "center", "left").select("center", F.coalesce("stripe", F.lit("{}")).alias("stripe"))
+    """Stripes, and {} for a top word that occurs without a top neighbour. The list is made, and the tokens are searched, once for both."""
+    kept = materialize(_kept(tokens, top).where(F.size("kept") > 0), "kept")
+    present = kept.select(F.explode("kept.t").alias("center")).distinct()
+    return present.join(stripes(_pairs(kept, distance)), "center", "left").select("center", F.coalesce("stripe", F.lit("{}")).alias("stripe"))
 
 
 def symmetry(counts: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,19 @@ def test_recomputed_scores_leave_other_terms_early(spark, tmp_path):
     assert tuple(made.first()) == (12, 0, 0, 0)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_stripes_with_empty_search_the_tokens_once(spark):
+    tokens = cooccur.tokenized(spark.createDataFrame([("aa bb xx cc",), ("aa bb",), ("xx",)], "line string"))
+    top = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("dd",)], "word string")
+    made = cooccur.stripes_with_empty(tokens, top, 1)
+    assert {tuple(r) for r in made.collect()} == {("aa", "{bb:2}"), ("bb", "{aa:2}"), ("cc", "{}")}
+    assert set(made.inputFiles()).isdisjoint(tokens.inputFiles())
+
+
+def test_tokens_of_lines_are_those_of_sql(spark):
+    odd = ["", None, "A bb <b>CC</b> &amp; dd", "see http://x.y/z WWW.q.r now", "[[File:x]] İxa K9 it's 'q", "ÀÉ naïve\tx1 __a", "a b", "x\x0bwww.a\x0bb cc"]
+    lines = spark.createDataFrame([(x,) for x in odd], "line string")
+    odd_lines = pa.table({"line": pa.array(odd, pa.string())})  # noqa: F841
+    expected = [r[0] or [] for r in duckdb.sql(f"select {registry._clean_sql('line')} from odd_lines").fetchall()]
+    assert sorted(r[0] for r in cooccur.tokenized(lines).collect()) == sorted(expected)
